@@ -6,9 +6,9 @@ element); a dart beyond the element's weight misses. Each dart belongs to one of
 coordinate is the signature: only darts up to a rank that fits the total weight are thrown, about K ln K in all,
 however long the text. Two signatures agree in a coordinate with the probability of the weighted Jaccard similarity.
 
-Texts with equal word sequences are one node. Nodes that share a band meet in a bucket; each bucket links its members
-to a pivot, verified by the exact similarity, and goes on with those that are not linked, so a bucket of n members
-costs about n comparisons. What the pivots could miss - a link across two stars - is looked for afterwards, only where the
+Texts with equal word sequences are one node. Nodes that share a band meet in a bucket; each bucket compares its members
+with a pivot, by the exact similarity, and goes on with those that are not linked to it and four times as many pivots,
+so that a bucket of copies costs about as many comparisons as it has members. What the pivots could miss - a link across two stars - is looked for afterwards, only where the
 triangle inequality of the Jaccard distance leaves room for it.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
@@ -27,8 +27,6 @@ from .store import materialize, read, release
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 PIECE_BYTES = 1_000_000
-#: Buckets of at most so many open members compare all of them at once.
-SMALL = 6
 
 
 def shingles(firsts: np.ndarray, h: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +193,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sig = materialize(signatures(docs, doc_id, text, size, bands, rows), "near-signatures")
     members = sig.where("size(bands) > 0").select("node", F.posexplode("bands").alias("band", "h")).groupBy("band", "h", "node").agg(F.lit(1).alias("one"))
     crowd = members.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
-    active = materialize(members.join(crowd, ["band", "h"]).select("band", "h", "node"), "near-buckets")
+    active = members.join(crowd, ["band", "h"]).select("band", "h", "node", "n")
+    central = active.groupBy("node").agg(F.sum("n").alias("degree"))  # nodes that share most come first as pivots
+    active = materialize(active.join(central, "node").select("band", "h", "node", "degree"), "near-buckets")
     wanted = active.select("node").distinct()
     rep = sig.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text_")).join(rep.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -204,21 +204,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         texts = texts.unionByName(docs.where(F.col(doc_id).isNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text_")))
     sets = materialize(shingle_sets(texts, "_text_", size).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "near-sets")
     edges: DataFrame | None = None
+    pivots = 1
     while True:
-        sized = active.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("pivot"), F.when(F.count("*") <= SMALL, F.collect_list("node")).alias("few"))
-        sized = sized.where("n > 1")
-        star = active.join(sized.where(f"n > {SMALL}").select("band", "h", "pivot"), ["band", "h"]).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        every = sized.where(f"n <= {SMALL}").select("few", F.explode("few").alias("a")).select("a", F.explode("few").alias("b")).where("a > b")
-        pairs = star.union(every).distinct()
+        place = Window.partitionBy("band", "h").orderBy(F.desc("degree"), "node")
+        ranked = materialize(active.withColumn("rank", F.row_number().over(place)), "near-ranked")
+        release(active)
+        heads = ranked.where(F.col("rank") <= pivots).select("band", "h", F.col("node").alias("pivot"), F.col("rank").alias("head"))
+        meet = ranked.join(heads, ["band", "h"]).where("head < rank")
+        pairs = meet.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         if edges is not None:
             pairs = pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti")
         fresh = materialize(verified(pairs, sets, at), "near-pairs")
         edges = fresh if edges is None else edges.unionByName(fresh)
-        open_ = active.join(sized.where(f"n > {SMALL}").select("band", "h", "pivot"), ["band", "h"]).where("node <> pivot")
-        linked = edges.where(F.col("similarity") >= at).select(F.col("a").alias("node"), F.col("b").alias("pivot"))
-        left = materialize(open_.join(linked, ["node", "pivot"], "left_anti").select("band", "h", "node"), "near-buckets")
-        release(active)
-        active = left
+        rest = ranked.where(F.col("rank") > pivots)
+        if not rest.limit(1).count():
+            break
+        link = edges.where(F.col("similarity") >= at).select("a", "b")
+        either = link.select(F.col("a").alias("node"), F.col("b").alias("pivot")).union(link.select(F.col("b").alias("node"), F.col("a").alias("pivot")))
+        settled = meet.where(F.col("rank") > pivots).join(either, ["node", "pivot"], "left_semi").select("band", "h", "node").distinct()
+        left = rest.join(settled, ["band", "h", "node"], "left_anti")
+        several = left.groupBy("band", "h").count().where("count > 1")
+        active = materialize(left.join(several, ["band", "h"], "left_semi").select("band", "h", "node", "degree"), "near-buckets")
+        release(ranked)
+        pivots *= 4
         if not active.limit(1).count():
             break
     links = edges.where(F.col("similarity") >= at).select("a", "b")
