@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from .store import materialize, read, release
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 PIECE_BYTES = 1_000_000
+#: Members of a block; open members of a bucket up to which pivots give way to comparing all of them.
+BLOCK, OPEN = 256, 2048
 
 
 def shingles(firsts: np.ndarray, h: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +184,45 @@ def verified(pairs: DataFrame, sets: DataFrame, at: float) -> DataFrame:
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
 
 
+def links_in_blocks(asking: DataFrame, asked: DataFrame, sets: DataFrame, at: float) -> DataFrame:
+    """a, b, similarity of linked nodes of the same ``unit``: every asking one with every asked one, in blocks of both
+    sides, so that no task holds a whole unit and only links come out. With a column ``d`` (distance to a common node)
+    pairs that the triangle inequality rules out are left out."""
+    count = lambda df, name: df.groupBy("unit").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias(name))
+    blocks = count(asking, "m").join(count(asked, "n"), "unit")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    d = [c for c in asking.columns if c == "d"]
+    columns = ["unit", "i", "j", "node", "set", *d]
+    left = asking.join(blocks, "unit").withColumn("i", own("m")).withColumn("j", every("n")).join(sets, "node").select([F.col(c).alias(f"x_{c}") for c in columns])
+    right = asked.join(blocks, "unit").withColumn("j", own("n")).withColumn("i", every("m")).join(sets, "node").select([F.col(c).alias(f"y_{c}") for c in columns])
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = {"a": [], "b": [], "similarity": []}
+        x, y = (t.rename(columns=lambda c: c[2:]) for t in (x, y))
+        if len(x) and len(y):
+            size = np.array([len(v) for v in y["set"]])
+            flat = np.concatenate(y["set"].to_list())
+            heads = np.cumsum(size) - size
+            names = y["node"].to_list()
+            for k, (node, mine) in enumerate(zip(x["node"], x["set"], strict=True)):
+                place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                common = np.add.reduceat((mine[place] == flat).astype(np.int64), heads)
+                similar = common / (size + len(mine) - common)
+                ok = similar >= at
+                if d:
+                    ok &= np.abs(y["d"].to_numpy() - x["d"].iloc[k]) <= 1 - at + 1e-9
+                for j in np.flatnonzero(ok).tolist():
+                    if names[j] != node:
+                        out["a"].append(max(node, names[j]))
+                        out["b"].append(min(node, names[j]))
+                        out["similarity"].append(float(similar[j]))
+        return pd.DataFrame(out).drop_duplicates(["a", "b"])
+
+    keys = lambda side: [f"{side}_{c}" for c in ("unit", "i", "j")]
+    return left.groupBy(*keys("x")).cogroup(right.groupBy(*keys("y"))).applyInPandas(compare, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, at: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (smallest non-null doc_id of the class) and class_docs (rows in the class), one row per row of ``docs``.
 
@@ -227,7 +269,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         active = materialize(left.join(several, ["band", "h"], "left_semi").select("band", "h", "node", "degree"), "near-buckets")
         release(ranked)
         pivots *= 4
-        if not active.limit(1).count():
+        largest = active.groupBy("band", "h").count().agg(F.max("count")).first()[0]
+        if largest is None:
+            break
+        if pivots > 4 and largest <= OPEN:  # few are left, none linked to a pivot: all of them with all, within the tasks
+            rest = active.select(F.concat_ws(":", "band", "h").alias("unit"), "node").distinct()
+            edges = edges.unionByName(materialize(links_in_blocks(rest, rest, sets, at), "near-pairs"))
             break
     links = edges.where(F.col("similarity") >= at).select("a", "b")
     labels = components(links)
@@ -239,8 +286,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         near = near.join(of("y"), "y", "left").join(of("p"), "p").where("y_label is null or y_label <> p_label")
         star = edges.where(F.col("similarity") >= at).select("a", "b", (1 - F.col("similarity")).alias("dx"))
         star = star.select(F.col("a").alias("x"), F.col("b").alias("p"), "dx").union(star.select(F.col("b").alias("x"), F.col("a").alias("p"), "dx"))
-        across = near.join(star, "p").where(F.col("dy") - F.col("dx") <= 1 - at + 1e-9).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct()
-        more = materialize(verified(across.join(edges.select("a", "b"), ["a", "b"], "left_anti"), sets, at).where(F.col("similarity") >= at), "near-pairs")
+        ask = near.select(F.hex("p").alias("unit"), F.col("y").alias("node"), F.col("dy").alias("d"))
+        asked = star.join(near.select("p").distinct(), "p", "left_semi").select(F.hex("p").alias("unit"), F.col("x").alias("node"), F.col("dx").alias("d"))
+        more = materialize(links_in_blocks(ask, asked, sets, at), "near-pairs")
         if more.limit(1).count():
             labels = components(links.unionByName(more.select("a", "b")))
     release(sets)

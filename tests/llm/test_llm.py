@@ -144,7 +144,9 @@ def jaccard_classes(rows, at=0.8):
     return out
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = list(EDGE)
     for f in range(6):
         base = prose(150, 100 + f).split()
