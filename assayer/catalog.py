@@ -2,5 +2,317 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .functions import lexicon as lx
+from .operators import relations as rel
+from .operators import retrieval as rt
+from .operators import text as tx
+from .plans import flagship
+from .sources import adapters as ad
+from .sources import identifiers as ids
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+N, S, P, T = (f"({x})" for x in (ad.NCLAIMS, ad.SENTENCES, ad.PAGED, ad.TRACES))
+_PAIR = "a.ord < b.ord AND a.context_id IS NOT DISTINCT FROM b.context_id AND a.metric IS NOT DISTINCT FROM b.metric"
+_OPPOSED = "(a.polarity <> b.polarity AND abs(a.value - b.value) <= 1e-9 + 1e-12)"
+_CONTRA = f"""SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, a.context_id, lower(a.subject) AS subject, a.metric, round(abs(a.value - b.value), 6) AS difference,
+ CASE WHEN {_OPPOSED} THEN 'polarity_opposition' ELSE 'value_divergence' END AS reason FROM {N} a JOIN {N} b ON {_PAIR} AND lower(a.subject) = lower(b.subject) AND a.subtype = 'absolute' AND b.subtype = 'absolute'
+ AND ({_OPPOSED} OR abs(a.value - b.value) > 0.05 + 1e-12)"""
+_BOOST = f"SELECT subject, metric, count(DISTINCT context_id) AS contexts FROM {N} GROUP BY ALL HAVING count(DISTINCT context_id) >= 2 AND bool_and(polarity = 'supports')"
+_LEGACY = f"""SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, a.context_id, a.metric, CASE WHEN a.polarity <> b.polarity THEN 'polarity_opposition' ELSE 'value_divergence' END AS reason
+ FROM {N} a JOIN {N} b ON {_PAIR} AND (a.polarity <> b.polarity OR abs(a.value - b.value) > 0.05)"""
+
+
+@query(_CONTRA)
+def contradictions(spark, d):
+    return rel.contradictions(ad.view(spark, d, ad.NCLAIMS))
+
+
+@query(f"SELECT context_id, metric, count(*) AS n, count(DISTINCT lower(subject)) AS subjects, min(value) AS value_min, max(value) AS value_max, round(avg(value), 6) AS value_mean, round(max(value) - min(value), 6) AS value_range FROM {N} WHERE subtype = 'absolute' GROUP BY context_id, metric HAVING count(*) >= 2 AND count(DISTINCT lower(subject)) >= 2")
+def perf_variance(spark, d):
+    return rel.performance_variance(ad.view(spark, d, ad.NCLAIMS))
+
+
+@query(f"SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, lower(a.subject) AS subject, a.metric, a.context_id AS context_a, b.context_id AS context_b FROM {N} a JOIN {N} b ON a.ord < b.ord AND lower(a.subject) = lower(b.subject) AND a.metric = b.metric AND a.context_id IS DISTINCT FROM b.context_id WHERE a.subtype = 'absolute' AND b.subtype = 'absolute'")
+def cond_divergence(spark, d):
+    return rel.conditional_divergence(ad.view(spark, d, ad.NCLAIMS))
+
+
+@query(_LEGACY)
+def legacy_contradictions(spark, d):
+    return rel.legacy_contradictions(ad.view(spark, d, ad.NCLAIMS))
+
+
+@query(f"SELECT g.*, round(coalesce(c, 0) / (n * (n - 1) / 2), 6) AS density FROM (SELECT context_id, metric, count(*) AS n, round(avg(value), 6) AS value_mean, min(value) AS value_min, max(value) AS value_max FROM {N} GROUP BY context_id, metric HAVING count(*) >= 2) g LEFT JOIN (SELECT context_id, metric, count(*) AS c FROM ({_LEGACY}) GROUP BY ALL) f USING (context_id, metric)")
+def consensus(spark, d):
+    return rel.consensus(ad.view(spark, d, ad.NCLAIMS))
+
+
+@query(f"SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, lower(a.subject) AS subject, a.metric FROM {N} a JOIN {N} b ON a.ord < b.ord AND lower(a.subject) = lower(b.subject) AND lower(a.predicate) = lower(b.predicate) AND a.metric = b.metric AND a.context_id IS DISTINCT FROM b.context_id")
+def legacy_divergence(spark, d):
+    return rel.legacy_divergence(ad.view(spark, d, ad.NCLAIMS))
+
+
+@query(_BOOST)
+def context_boost(spark, d):
+    return rel.context_boost(ad.view(spark, d, ad.NCLAIMS))
+
+
+@query(f"""WITH n AS {N}, g AS (SELECT context_id, metric, count(*) AS total, coalesce(min(value) FILTER (subtype = 'absolute'), min(value)) AS value_min, coalesce(max(value) FILTER (subtype = 'absolute'), max(value)) AS value_max,
+ round(coalesce(avg(value) FILTER (subtype = 'absolute'), avg(value)), 6) AS value_mean, count(*) FILTER (polarity = 'supports') AS supporting, count(*) FILTER (polarity = 'refutes') AS refuting FROM n GROUP BY ALL),
+ c AS (SELECT context_id, metric, count(*) AS k FROM ({_CONTRA}) GROUP BY ALL), b AS (SELECT DISTINCT context_id, metric, true AS boost FROM n SEMI JOIN ({_BOOST}) USING (subject, metric)),
+ j AS (SELECT g.*, coalesce(k, 0) AS contradictions, CASE WHEN total > 1 THEN coalesce(k, 0) / (total * (total - 1) / 2) ELSE 0.0 END AS den, coalesce(boost, false) AS boost, CASE WHEN supporting + refuting > 0 THEN supporting / (supporting + refuting) ELSE 0.0 END AS ratio FROM g LEFT JOIN c USING (context_id, metric) LEFT JOIN b USING (context_id, metric))
+ SELECT context_id, metric, total, value_min, value_max, value_mean, supporting, refuting, contradictions, round(den, 6) AS density, supporting - refuting AS strength,
+ CASE WHEN supporting >= 3 AND ratio >= 0.75 AND den <= 0.2 THEN 'high' WHEN supporting >= 2 AND ratio >= 0.6 THEN 'medium' WHEN boost THEN 'medium' ELSE 'low' END AS confidence,
+ CASE WHEN supporting + refuting = 0 THEN 'insufficient_evidence' WHEN refuting = 0 THEN 'supported' WHEN refuting > supporting THEN 'contested' ELSE 'weakly_supported' END AS status FROM j""")
+def beliefs(spark, d):
+    return rel.beliefs(ad.view(spark, d, ad.NCLAIMS))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return rel.duplicate_ids(ad.table(spark, d, "orders"), "o_custkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1 OR o_custkey IS NULL")
+def ordered_dedup(spark, d):
+    return rel.first_of(ad.table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@query(f"SELECT session_id, tool, count(*) AS calls, sum(tokens) AS tokens, round(avg(duration), 4) AS mean_duration, round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, round(count(*) FILTER (cache_hit) / count(*), 6) AS cache_rate FROM {T} GROUP BY ROLLUP (session_id, tool)")
+def tool_metrics(spark, d):
+    return rel.tool_metrics(ad.view(spark, d, ad.TRACES))
+
+
+def _scan(name: str, column, group: int, pattern: str, source: str = S):
+    def run(spark, d):
+        return ad.view(spark, d, ad.SENTENCES).select("ord", F.array_join(column(F.col("text")), "|").alias("found"))
+
+    run.__name__ = name
+    query(f"SELECT ord, array_to_string(regexp_extract_all(text, '(?i){pattern}', {group}), '|') AS found FROM {source}")(run)
+
+
+_scan("scan_numeric", tx.numbers, 0, rf"\b\d+(?:\.\d+)?(?:\s*(?:{lx.UNITS}))?")
+_scan("scan_units", tx.units, 1, rf"\b\d+(?:\.\d+)?\s*({lx.UNITS})")
+_scan("scan_metrics", tx.metric_names, 1, rf"\b({lx.METRICS})\b")
+_scan("scan_datasets", tx.dataset_names, 1, rf"\b({lx.DATASETS})\b")
+
+
+def _one(pattern: str) -> str:
+    return f"nullif(regexp_extract(text, '(?i){pattern}', 1), '')"
+
+
+@query(rf"SELECT ord, coalesce('ctx_' || lower({_one(rf'\b({lx.DATASETS})\b')}), 'ctx_metric_' || replace(lower({_one(rf'\b({lx.METRICS})\b')}), '-', '_'), 'ctx_unknown') AS context_id FROM {S}")
+def context_id(spark, d):
+    return ad.view(spark, d, ad.SENTENCES).select("ord", tx.context_id(F.col("text")).alias("context_id"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_hash FROM documents")
+def text_hash(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^ \t-\r]+')) AS BIGINT) AS words FROM documents")
+def word_count(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^ \t-\r]+")).cast("long").alias("words"))
+
+
+@query("SELECT doc_id, i AS chunk_index, i * 900 AS start_char, least(i * 900 + 1000, length(text)) AS end_char, sha256(substr(text, i * 900 + 1, 1000)) AS chunk_hash FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 100) / 900) AS BIGINT), 1))) AS i FROM documents WHERE length(text) > 0)")
+def chunk_window(spark, d):
+    return tx.window_chunks(ad.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "start_char", "end_char", F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+@query()
+def sentence_chunks(spark, d):
+    return tx.sentences(ad.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "sentence_index", "start_char", "end_char", F.sha2("sentence", 256).alias("sentence_hash"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS distinct_n FROM documents")
+def token_sets(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", F.size(tx.tokens(F.col("text"))).alias("n"), F.size(F.array_distinct(tx.tokens(F.col("text")))).alias("distinct_n"))
+
+
+@query(rf"SELECT ord, round(greatest(least((len(regexp_extract_all(text, '(?i)\b({lx.METRICS})\b')) + len(regexp_extract_all(text, '(?i)\b\d+(?:\.\d+)?(?:\s*(?:{lx.UNITS}))?'))) / (greatest(length(text), 1) / 100), 1), 0.01), 4) AS signal FROM {S}")
+def signal_score(spark, d):
+    return ad.view(spark, d, ad.SENTENCES).select("ord", tx.signal(F.col("text")).alias("signal"))
+
+
+_ANCHOR = "CASE WHEN dataset IS NOT NULL THEN 'ctx_' || replace(lower(dataset), ' ', '_') END"
+
+
+@query(f"SELECT source_id, page, ord, coalesce(d, CASE WHEN metric IS NOT NULL OR number IS NOT NULL THEN coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY source_id, page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(d IGNORE NULLS) OVER (PARTITION BY source_id, page ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END, 'ctx_metric_' || replace(lower(metric), '-', '_'), 'ctx_unknown') AS context_id FROM (SELECT *, {_ANCHOR} AS d FROM {P})")
+def ctx_propagate(spark, d):
+    return tx.propagate_contexts(ad.view(spark, d, ad.PAGED)).select("source_id", "page", "ord", "context_id")
+
+
+_PARA = f"SELECT *, sum(b) OVER (PARTITION BY source_id ORDER BY page, ord ROWS UNBOUNDED PRECEDING) AS paragraph FROM (SELECT *, coalesce(CAST(lag(blank_line) OVER w OR lag(page) OVER w <> page OR start_char - lag(end_char) OVER w > 200 AS INT), 0) AS b FROM {P} WINDOW w AS (PARTITION BY source_id ORDER BY page, ord))"
+
+
+@query(f"SELECT source_id, page, ord, CAST(paragraph AS BIGINT) AS paragraph FROM ({_PARA})")
+def paragraphs(spark, d):
+    return tx.paragraphs(ad.view(spark, d, ad.PAGED)).select("source_id", "page", "ord", "paragraph")
+
+
+@query(f"SELECT *, CASE WHEN datasets <> '' THEN 'explicit' WHEN metrics <> '' THEN 'inferred' ELSE 'none' END AS context_source FROM (SELECT source_id, CAST(paragraph AS BIGINT) AS paragraph, count(*) AS chunks, coalesce(string_agg(DISTINCT dataset, ',' ORDER BY dataset), '') AS datasets, coalesce(string_agg(DISTINCT metric, ',' ORDER BY metric), '') AS metrics, min(dataset) AS inferred FROM ({_PARA}) GROUP BY source_id, paragraph)")
+def paragraph_context(spark, d):
+    return tx.paragraph_contexts(ad.view(spark, d, ad.PAGED))
+
+
+@query()
+def claim_extract(spark, d):
+    return tx.extract_claims(ad.view(spark, d, ad.SENTENCES)).drop("text")
+
+
+@query()
+def claim_reasons(spark, d):
+    return tx.extract_claims(ad.view(spark, d, ad.SENTENCES)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(rf"SELECT ord, regexp_matches(text, '(?i)\b(?:{lx.DELTA})') AS is_delta, (({' OR '.join(f'contains(lower(text), {h!r})' for h in lx.HEDGES)}) AND NOT (regexp_matches(text, '\d') AND regexp_matches(text, '(?i)\b({lx.CLAIM_METRICS})\b'))) AS hedged FROM {S}")
+def claim_filters(spark, d):
+    return ad.view(spark, d, ad.SENTENCES).select("ord", tx.is_delta(F.col("text")).alias("is_delta"), tx.hedged(F.col("text")).alias("hedged"))
+
+
+_WEAK = f"""CASE WHEN regexp_matches(lower(text), '{lx.WEAK_HEDGE}') THEN 'HEDGED_STATEMENT' WHEN {' OR '.join(f"regexp_matches(lower(text), '{p}')" for p in lx.WEAK_COMPOUND)} THEN 'COMPOUND_METRIC'
+ WHEN NOT ({' OR '.join(f"regexp_matches(lower(text), '{p}')" for p in lx.WEAK_DELTA)}) THEN 'NOT_QUANTITATIVE_DELTA' WHEN NOT (regexp_matches(lower(text), '\\bp\\s*[<>=]') OR contains(lower(text), 'p-value') OR regexp_matches(lower(text), '{lx.WEAK_PROPERTY}')) THEN 'NO_MEASURABLE_PROPERTY' END"""
+
+
+@query(rf"SELECT ord, {_WEAK} AS verdict, list_max(list_transform(regexp_extract_all(text, '(\d+\.?\d*)', 1), lambda x: CAST(x AS DOUBLE))) AS largest FROM {S}")
+def weak_claims(spark, d):
+    return ad.view(spark, d, ad.SENTENCES).select("ord", tx.weak_verdict(F.col("text")).alias("verdict"), tx.largest_number(F.col("text")).alias("largest"))
+
+
+@query(rf"SELECT ord, MAP {{{', '.join(f'{k!r}: {v!r}' for k, v in lx.METRIC_ALIASES.items())}}}[regexp_replace(lower(regexp_extract(text, '(?i)\b({lx.NORMAL_METRICS})\b', 1)), '[^a-z0-9]+', '', 'g')] AS metric FROM {S}")
+def canonical_metric(spark, d):
+    return ad.view(spark, d, ad.SENTENCES).select("ord", tx.canonical_metric(F.col("text")).alias("metric"))
+
+
+@query()
+def normalize(spark, d):
+    claims = tx.extract_claims(ad.view(spark, d, ad.SENTENCES)).where("claim_id is not null")
+    return tx.normalize_claims(claims).select("ord", "claim_id", "metric", "value", "unit", "value_raw", "reason_none")
+
+
+@query()
+def text_beliefs(spark, d):
+    return flagship.beliefs_of_texts(ad.view(spark, d, ad.SENTENCES))
+
+
+_UNIT = "CASE l_linenumber WHEN 1 THEN '%' WHEN 2 THEN 'ms' WHEN 3 THEN 'sec' WHEN 4 THEN 'mb' WHEN 5 THEN 'kb' WHEN 6 THEN 'GB' END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE u WHEN '%' THEN v / 100.0 WHEN 'ms' THEN v / 1000.0 WHEN 'mb' THEN v / 1024.0 WHEN 'kb' THEN v / 1048576.0 ELSE v END AS value, CASE u WHEN '%' THEN 'ratio' WHEN 'ms' THEN 's' WHEN 'sec' THEN 's' WHEN 'mb' THEN 'gb' WHEN 'kb' THEN 'gb' WHEN 'GB' THEN 'gb' END AS unit FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS v, {_UNIT} AS u FROM lineitem)")
+def unit_convert(spark, d):
+    v, u = tx.converted(F.col("l_quantity").cast("double"), F.expr(_UNIT))
+    return ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", v.alias("value"), u.alias("unit"))
+
+
+_QUERY = "the license version of data"
+
+
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) SELECT doc_id, round(s / 5.0, 6) AS score FROM (SELECT doc_id, " + " + ".join(f"CAST(list_contains(w, '{w}') AS INT)" for w in _QUERY.split()) + " AS s FROM t) WHERE s > 0 ORDER BY score DESC, doc_id LIMIT 50")
+def rag_lexical_topk(spark, d):
+    return rt.lexical_topk(ad.table(spark, d, "documents"), _QUERY, 50)
+
+
+_VECTOR = [round(0.1 * ((i * 7) % 11 - 5), 1) for i in range(64)]
+_COS = f"round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR}::DOUBLE[]), 6)"
+
+
+@query(f"SELECT vec_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk(spark, d):
+    return rt.vector_topk(ad.table(spark, d, "embeddings"), _VECTOR, 10).select("vec_id", "score")
+
+
+@query(f"SELECT vec_id, {_COS} AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_filtered(spark, d):
+    return rt.vector_topk(ad.table(spark, d, "embeddings"), _VECTOR, 10, F.col("label") == 3).select("vec_id", "score")
+
+
+@query(f"SELECT vec_id, score FROM (SELECT vec_id, label, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10) WHERE label = 3")
+def vector_topk_post_filtered(spark, d):
+    return rt.vector_topk(ad.table(spark, d, "embeddings"), _VECTOR, 10, F.col("label") == 3, post_filter=True).select("vec_id", "score")
+
+
+@query("""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY ALL),
+ d AS (SELECT label, vec_id, round(sqrt(sum((v - m) * (v - m))), 6) AS distance FROM x JOIN c USING (label, i) GROUP BY label, vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS a, row_number() OVER (PARTITION BY label ORDER BY distance DESC, vec_id) AS b FROM d)
+ SELECT label, vec_id, distance, CASE WHEN a <= 3 THEN 'representative' ELSE 'boundary' END AS role FROM r WHERE a <= 3 OR b <= 2""")
+def cluster_profile(spark, d):
+    return rt.cluster_profiles(ad.table(spark, d, "embeddings"))
+
+
+@query("""WITH a AS (SELECT label AS g, vec_id % 7 + label // 3 AS p FROM embeddings), c AS (SELECT p, g, count(*) AS n FROM a GROUP BY ALL), r AS (SELECT p, sum(n) AS r, max(n) AS top FROM c GROUP BY p), s AS (SELECT g, sum(n) AS s FROM c GROUP BY g), t AS (SELECT sum(n) AS t FROM c)
+ SELECT CAST((SELECT t FROM t) AS BIGINT) AS n, round((SELECT sum(top) FROM r) / (SELECT t FROM t), 6) AS purity, round((SELECT sum(n / t * ln(n * t / (r * s) + 1e-10)) FROM c JOIN r USING (p) JOIN s USING (g), t) / (((SELECT -sum(r / t * ln(r / t + 1e-10)) FROM r, t) + (SELECT -sum(s / t * ln(s / t + 1e-10)) FROM s, t)) / 2), 6) AS nmi""")
+def cluster_purity_nmi(spark, d):
+    e = ad.table(spark, d, "embeddings").select(F.col("label").alias("g"), (F.col("vec_id") % 7 + F.floor(F.col("label") / 3)).alias("p"))
+    return rt.purity_nmi(e, "p", "g")
+
+
+@query("WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM w WHERE term NOT IN ('the', 'and', 'that') GROUP BY ALL) SELECT lang, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 5")
+def cluster_label(spark, d):
+    return rt.frequent_terms(ad.table(spark, d, "documents"), "lang", "text", stopwords=("the", "and", "that"))
+
+
+@query("WITH p AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 45), g AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_discount > 0.09), h AS (SELECT count(*) AS hit FROM p SEMI JOIN g USING (k)), v AS (SELECT hit / (SELECT count(*) FROM p) AS a, hit / (SELECT count(*) FROM g) AS b FROM h) SELECT round(a, 6) AS precision, round(b, 6) AS recall, round(2 * a * b / (a + b), 6) AS f1 FROM v")
+def claim_prf_exact(spark, d):
+    li = ad.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), "l_quantity", "l_discount")
+    return rt.precision_recall(li.where("l_quantity > 45"), li.where("l_discount > 0.09"), "k")
+
+
+@query(rf"SELECT ord, lower(m[1]) AS name, CAST(replace(m[2], '%', '') AS DOUBLE) AS value, ends_with(m[2], '%') AS percent FROM (SELECT DISTINCT ord, [x, y] AS m FROM (SELECT ord, unnest(regexp_extract_all(t, '(?i)\b({lx.ARTIFACT_METRICS})\b\s*(?:=|:|of|is)\s*(\d+\.?\d*%?)', 1)) AS x, unnest(regexp_extract_all(t, '(?i)\b({lx.ARTIFACT_METRICS})\b\s*(?:=|:|of|is)\s*(\d+\.?\d*%?)', 2)) AS y FROM (SELECT ord, concat(text, ' accuracy = ', ord % 100, '% and BLEU: 3.5; BLEU: 3.5') AS t FROM {S})))")
+def metric_artifacts(spark, d):
+    return tx.metric_artifacts(ad.view(spark, d, ad.SENTENCES).select("ord", F.concat("text", F.lit(" accuracy = "), F.col("ord") % 100, F.lit("% and BLEU: 3.5; BLEU: 3.5")).alias("text")), "ord")
+
+
+@query(rf"SELECT ord, lower(substr(k, 1, 3)) AS kind, CAST(n AS INT) AS number, c AS caption FROM (SELECT ord, unnest(regexp_extract_all(t, '(?i)(Table|Figure|Fig\.?)\s*(\d+)[.:]\s*([^\n]*)', 1)) AS k, unnest(regexp_extract_all(t, '(?i)(Table|Figure|Fig\.?)\s*(\d+)[.:]\s*([^\n]*)', 2)) AS n, unnest(regexp_extract_all(t, '(?i)(Table|Figure|Fig\.?)\s*(\d+)[.:]\s*([^\n]*)', 3)) AS c FROM (SELECT ord, concat('Table ', ord % 9, ': ', text, chr(10), 'Fig. 2. end') AS t FROM {S}))")
+def captions(spark, d):
+    return tx.captions(ad.view(spark, d, ad.SENTENCES).select("ord", F.concat(F.lit("Table "), F.col("ord") % 9, F.lit(": "), "text", F.lit("\nFig. 2. end")).alias("text")), "ord")
+
+
+@query("""WITH l AS (SELECT doc_id, i AS line, x AS raw, regexp_full_match(x, '.+[|].+[|].+') AS row FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
+ r AS (SELECT *, line - sum(CAST(row AS INT)) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT doc_id, min(line) AS first_line, count(*) AS row_count, arg_min(len(list_filter(list_transform(string_split(raw, '|'), lambda x: trim(x)), lambda x: x <> '')), line) AS headers FROM r WHERE row GROUP BY doc_id, run HAVING count(*) >= 2""")
+def text_tables(spark, d):
+    return tx.text_tables(ad.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN 'url' ELSE 'unknown' END AS kind, CASE WHEN length(s) > 80 THEN substr(s, 1, 60) || '_' || substr(sha256(url), 1, 16) ELSE s END AS safe FROM (SELECT *, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS s FROM pages)")
+def resolve_id(spark, d):
+    return ad.table(spark, d, "pages").select("page_id", ids.identifier_kind(F.col("url")).alias("kind"), ids.safe_id(F.col("url")).alias("safe"))
+
+
+@query(f"SELECT tool, count(*) AS runs, count(DISTINCT status) AS outcomes, round(avg(CAST(status = first AS INT)), 6) AS rate FROM (SELECT tool, session_id, status, first_value(status) OVER (PARTITION BY tool, session_id ORDER BY seq) AS first FROM {T}) GROUP BY tool")
+def determinism_audit(spark, d):
+    from pyspark.sql import Window
+
+    first = F.first("status").over(Window.partitionBy("tool", "session_id").orderBy("seq"))
+    return ad.view(spark, d, ad.TRACES).withColumn("first", first).groupBy("tool").agg(F.count("*").alias("runs"), F.countDistinct("status").alias("outcomes"), F.round(F.avg((F.col("status") == F.col("first")).cast("int")), 6).alias("rate"))
+
+
+@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+def ref_integrity(spark, d):
+    return ad.table(spark, d, "customer").select("c_custkey").join(ad.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT label, count(*) AS vectors FROM embeddings SEMI JOIN labels ON vec_id = doc_id WHERE label IS NOT NULL GROUP BY label")
+def provenance_coverage(spark, d):
+    grounded = ad.table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"))
+    return ad.table(spark, d, "embeddings").select("vec_id", "label").join(grounded, "vec_id", "left_semi").groupBy("label").agg(F.count("*").alias("vectors"))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INT) AS paragraphs, CAST(len(regexp_extract_all(html, '(?i)<li[ >]')) AS INT) AS items FROM pages")
+def html_outline(spark, d):
+    return ad.table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("title"), F.regexp_count("html", F.lit("(?i)<p[ >]")).alias("paragraphs"), F.regexp_count("html", F.lit("(?i)<li[ >]")).alias("items"))
