@@ -203,8 +203,8 @@ def canonical_metric(spark, d):
 
 @query()
 def normalize(spark, d):
-    claims = tx.extract_claims(ad.view(spark, d, ad.SENTENCES)).where("claim_id is not null")
-    return tx.normalize_claims(claims).select("ord", "claim_id", "metric", "value", "unit", "value_raw", "reason_none")
+    bound = tx.normalize_claims(tx.extract_claims(ad.view(spark, d, ad.SENTENCES)))
+    return bound.where("coalesce(reason_none, '') <> 'no_claim'").select("ord", "claim_id", "metric", "value", "unit", "value_raw", "reason_none")
 
 
 @query()
@@ -278,11 +278,6 @@ def metric_artifacts(spark, d):
     return tx.metric_artifacts(ad.view(spark, d, ad.SENTENCES).select("ord", F.concat("text", F.lit(" accuracy = "), F.col("ord") % 100, F.lit("% and BLEU: 3.5; BLEU: 3.5")).alias("text")), "ord")
 
 
-@query(rf"SELECT ord, lower(substr(k, 1, 3)) AS kind, CAST(n AS INT) AS number, c AS caption FROM (SELECT ord, unnest(regexp_extract_all(t, '(?i)(Table|Figure|Fig\.?)\s*(\d+)[.:]\s*([^\n]*)', 1)) AS k, unnest(regexp_extract_all(t, '(?i)(Table|Figure|Fig\.?)\s*(\d+)[.:]\s*([^\n]*)', 2)) AS n, unnest(regexp_extract_all(t, '(?i)(Table|Figure|Fig\.?)\s*(\d+)[.:]\s*([^\n]*)', 3)) AS c FROM (SELECT ord, concat('Table ', ord % 9, ': ', text, chr(10), 'Fig. 2. end') AS t FROM {S}))")
-def captions(spark, d):
-    return tx.captions(ad.view(spark, d, ad.SENTENCES).select("ord", F.concat(F.lit("Table "), F.col("ord") % 9, F.lit(": "), "text", F.lit("\nFig. 2. end")).alias("text")), "ord")
-
-
 @query("""WITH l AS (SELECT doc_id, i AS line, x AS raw, regexp_full_match(x, '.+[|].+[|].+') AS row FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
  r AS (SELECT *, line - sum(CAST(row AS INT)) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT doc_id, min(line) AS first_line, count(*) AS row_count, arg_min(len(list_filter(list_transform(string_split(raw, '|'), lambda x: trim(x)), lambda x: x <> '')), line) AS headers FROM r WHERE row GROUP BY doc_id, run HAVING count(*) >= 2""")
 def text_tables(spark, d):

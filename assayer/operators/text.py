@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
 
@@ -200,7 +201,9 @@ _REFERENCE = re.compile(r"(?:table|figure|fig\.?|section|§|chapter)\s*$", re.IG
 def bind(text: str | None, reach: int = 150) -> tuple[str | None, str | None, str | None, str | None]:
     """Metric, number, unit and reason of one object text: the valid number nearest to the first metric, the first on
     ties. Years, numbers inside words and numbers behind Table, Figure and the like are no values."""
-    token = _METRIC.search(text or "")
+    if text is None:
+        return None, None, None, "no_claim"
+    token = _METRIC.search(text)
     name = lx.METRIC_ALIASES.get(re.sub("[^a-z0-9]+", "", token.group().lower())) if token else None
     if name is None:
         return None, None, None, "missing_metric"
@@ -220,7 +223,7 @@ def bind(text: str | None, reach: int = 150) -> tuple[str | None, str | None, st
     return name, best[1], best[2], None
 
 
-@F.pandas_udf("struct<metric:string,number:string,unit:string,reason:string>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("metric", "number", "unit", "reason")]))
 def _bind(column: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([bind(t) for t in column], columns=["metric", "number", "unit", "reason"])
 

@@ -11,7 +11,7 @@ from ..operators import text as tx
 
 def normalized(texts: DataFrame) -> DataFrame:
     """Normalised claims of texts (ord, source_id, text) in the form that relations take."""
-    n = tx.normalize_claims(tx.extract_claims(texts).where("claim_id is not null")).where("reason_none is null")
+    n = tx.normalize_claims(tx.extract_claims(texts)).where("reason_none is null")
     return n.select("ord", "claim_id", "context_id", "subject", "predicate", "metric", "value", "unit", F.lit("supports").alias("polarity"), F.col("claim_subtype").alias("subtype"))
 
 

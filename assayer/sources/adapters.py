@@ -10,7 +10,7 @@ NCLAIMS = """SELECT event_id AS ord, concat('claim_', event_id) AS claim_id, con
  CASE WHEN event_id % 5 = 0 THEN 'delta' ELSE 'absolute' END AS subtype FROM events"""
 
 #: Sentences out of line items: claims of each kind and texts without one.
-SENTENCES = """SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS ord, concat('src_', l_suppkey) AS source_id, CASE l_orderkey % 9
+SENTENCES = """SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100 + cast(l_quantity AS bigint) AS ord, concat('src_', l_suppkey) AS source_id, CASE l_orderkey % 9
  WHEN 0 THEN concat('Supplier ', l_suppkey, ' achieves ', 40 + cast(l_quantity AS int), '% accuracy on ', CASE l_returnflag WHEN 'A' THEN 'GLUE' WHEN 'N' THEN 'SQuAD' ELSE 'ImageNet' END, '.')
  WHEN 1 THEN concat('Training requires ', cast(l_quantity AS int), ' hours on a single V100.') WHEN 2 THEN concat('The model number ', l_partkey, ' introduces a transformer-based architecture.')
  WHEN 3 THEN concat('The network may achieve ', cast(l_quantity AS int), '% accuracy on the dataset.') WHEN 4 THEN concat('Latency improved by ', cast(l_quantity AS int), '% over the baseline.')
@@ -18,7 +18,7 @@ SENTENCES = """SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS
  WHEN 7 THEN concat('It might help (see Table ', l_linenumber, ') in some cases.') ELSE concat('System ', l_suppkey, ' runs in ', cast(l_quantity AS int), ' ms latency and reaches ', 1 + cast(l_quantity AS int), ' fps on CIFAR-10.') END AS text FROM lineitem"""
 
 #: Chunks on pages, with a data set word on every fifth.
-PAGED = """SELECT o_custkey AS source_id, l_orderkey AS page, l_linenumber * 1000000000 + cast(l_quantity AS bigint) * 10000000 + l_partkey AS ord, CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN CASE l_returnflag WHEN 'A' THEN 'GLUE' WHEN 'N' THEN 'SQuAD' ELSE 'ImageNet' END END AS dataset,
+PAGED = """SELECT o_custkey AS source_id, l_orderkey AS page, cast(l_linenumber AS bigint) * 1000000000 + cast(l_quantity AS bigint) * 10000000 + l_partkey AS ord, CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN CASE l_returnflag WHEN 'A' THEN 'GLUE' WHEN 'N' THEN 'SQuAD' ELSE 'ImageNet' END END AS dataset,
  CASE WHEN l_linenumber % 2 = 0 THEN 'accuracy' END AS metric, CASE WHEN l_linenumber % 3 = 0 THEN concat(cast(l_quantity AS int), '%') END AS number, l_linenumber * 300 AS start_char,
  l_linenumber * 300 + CASE WHEN l_quantity > 25 THEN 50 ELSE 150 END AS end_char, l_partkey % 10 = 0 AS blank_line FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
