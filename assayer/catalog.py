@@ -8,7 +8,6 @@ from .functions import lexicon as lx
 from .operators import relations as rel
 from .operators import retrieval as rt
 from .operators import text as tx
-from .plans import flagship
 from .sources import adapters as ad
 from .sources import identifiers as ids
 
@@ -201,17 +200,6 @@ def canonical_metric(spark, d):
     return ad.view(spark, d, ad.SENTENCES).select("ord", tx.canonical_metric(F.col("text")).alias("metric"))
 
 
-@query()
-def normalize(spark, d):
-    bound = tx.normalize_claims(tx.extract_claims(ad.view(spark, d, ad.SENTENCES)))
-    return bound.where("coalesce(reason_none, '') <> 'no_claim'").select("ord", "claim_id", "metric", "value", "unit", "value_raw", "reason_none")
-
-
-@query()
-def text_beliefs(spark, d):
-    return flagship.beliefs_of_texts(ad.view(spark, d, ad.SENTENCES))
-
-
 _UNIT = "CASE l_linenumber WHEN 1 THEN '%' WHEN 2 THEN 'ms' WHEN 3 THEN 'sec' WHEN 4 THEN 'mb' WHEN 5 THEN 'kb' WHEN 6 THEN 'GB' END"
 
 
