@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -26,12 +27,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing reads it any more."""
+    """Delete what materialize() wrote, once nothing reads it any more, and have the driver collect garbage: Spark removes
+    the shuffle files of ended rounds only after that, and a loop's plans would else pile up in the driver."""
     path = getattr(df, "_stored_at", None)
     if path:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
