@@ -206,6 +206,7 @@ def links_in_blocks(asking: DataFrame, asked: DataFrame, sets: DataFrame, at: fl
             heads = np.cumsum(size) - size
             names = y["node"].to_list()
             for k, (node, mine) in enumerate(zip(x["node"], x["set"], strict=True)):
+                mine = np.sort(mine)  # the hashes were sorted as unsigned numbers
                 place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
                 common = np.add.reduceat((mine[place] == flat).astype(np.int64), heads)
                 similar = common / (size + len(mine) - common)

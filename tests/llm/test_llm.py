@@ -161,6 +161,28 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert neardup.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.fixture
+def bucketed(monkeypatch):
+    """Gives every text with words the one band ``of`` (an expression over the columns of signatures())."""
+    real = neardup.signatures
+    return lambda of: monkeypatch.setattr(neardup, "signatures", lambda *a: real(*a).selectExpr("doc_id", "node", "filled", f"if(size(bands) > 0, array(cast({of} as long)), bands) AS bands"))
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_duplicates_of_several_families_and_chains_in_one_bucket(spark, monkeypatch, bucketed, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    bucketed("0")
+    rows = []
+    for f in range(12):
+        base = [f"w{f}x{k}" for k in range(90)]
+        if f % 3:  # a family: copies with one word changed
+            rows += [(100 * f + k, " ".join(base[:9 * k] + ["new"] + base[9 * k + 1 :])) for k in range(7)]
+        else:  # a chain: windows of the text, each near to the next only
+            rows += [(100 * f + k, " ".join(base[4 * k : 4 * k + 60])) for k in range(7)]
+    got = Counter(tuple(r) for r in neardup.near_duplicates(docs(spark, rows)).collect())
+    assert got == jaccard_classes(rows) and len({c for _, c, _ in got}) == 12
+
+
 def test_dart_minhash_estimates_weighted_similarity():
     a, b = np.arange(1, 400, dtype=np.uint64), np.arange(100, 500, dtype=np.uint64)
     wa, wb = RNG.uniform(0.2, 4, 500), RNG.uniform(0.2, 4, 500)
