@@ -279,10 +279,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
     links = edges.where(F.col("similarity") >= at).select("a", "b")
     labels = components(links)
-    if edges.where((F.col("similarity") < at) & (F.col("similarity") >= 2 * at - 1)).limit(1).count():
+    if edges.where((F.col("similarity") < at) & (F.col("similarity") >= 2 * at - 1 - 1e-9)).limit(1).count():
         # y is no neighbour of pivot p but near enough to be one of x, a neighbour of p: d(x, y) >= d(y, p) - d(x, p)
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-        near = edges.where((F.col("similarity") < at) & (F.col("similarity") >= 2 * at - 1)).select(F.col("a").alias("y"), F.col("b").alias("p"), (1 - F.col("similarity")).alias("dy"))
+        near = edges.where((F.col("similarity") < at) & (F.col("similarity") >= 2 * at - 1 - 1e-9)).select(F.col("a").alias("y"), F.col("b").alias("p"), (1 - F.col("similarity")).alias("dy"))
         near = near.union(near.select(F.col("p").alias("y"), F.col("y").alias("p"), "dy"))
         near = near.join(of("y"), "y", "left").join(of("p"), "p").where("y_label is null or y_label <> p_label")
         star = edges.where(F.col("similarity") >= at).select("a", "b", (1 - F.col("similarity")).alias("dx"))

@@ -183,6 +183,13 @@ def test_near_duplicates_of_several_families_and_chains_in_one_bucket(spark, mon
     assert got == jaccard_classes(rows) and len({c for _, c, _ in got}) == 12
 
 
+def test_near_duplicates_at_three_fifths_to_the_pivot(spark, bucketed):
+    bucketed("doc_id div 10")
+    rows = [(10 * t + k, " ".join(f"w{t}x{i}" for i in range(lo, hi))) for t in range(30) for k, (lo, hi) in enumerate([(1, 9), (1, 10), (2, 10)])]
+    got = Counter(tuple(r) for r in neardup.near_duplicates(docs(spark, rows)).collect())
+    assert got == jaccard_classes(rows) and {n for _, _, n in got} == {3}
+
+
 def test_dart_minhash_estimates_weighted_similarity():
     a, b = np.arange(1, 400, dtype=np.uint64), np.arange(100, 500, dtype=np.uint64)
     wa, wb = RNG.uniform(0.2, 4, 500), RNG.uniform(0.2, 4, 500)
