@@ -29,7 +29,7 @@ ITEMS = 20_000
 class Phrases:
     """Distinct windows of a block of items over term numbers."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW) -> None:
         raw = [t.encode("utf-8", "surrogatepass") for _, t in items]
         offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -99,13 +99,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (ids, sorted as strings);
     ``carry`` columns stay; with ``slack`` also n_near, the proximity matches of windows.
 
-    Null texts have no words; items without words never occur; equal item ids count once. Repeated rows, null ids and
+    Null texts have no words; items without words never occur; equal item ids count once. An item
+    without id counts in n_hit, n_near and contaminated, not in n_items, the digest and items. Repeated rows, null ids and
     extra columns are kept apart; empty tables give an empty or clean result. The benchmark is read in blocks of ITEMS
     rows that go to the tasks with the code; documents stay where they are.
     """
     carry = tuple(c for c in carry if c != doc_id)
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text_"), *carry)
-    listed = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(item_text, F.lit("")).alias("t")).where("i is not null")
+    listed = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(item_text, F.lit("")).alias("t"))
     rows = [(r.i, r.t) for r in listed.orderBy("i", "t").toLocalIterator()]
     blocks = [Phrases(rows[lo : lo + ITEMS], size) for lo in range(0, len(rows), ITEMS)] or [Phrases([], size)]
 
@@ -124,7 +125,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                     np.add.at(hit, starts, 1)
                     np.subtract.at(hit, starts + len(window), 1)
                     for d in np.unique(np.searchsorted(firsts, starts, "right") - 1).tolist():
-                        found[d].update(block.names[k] for k in of)
+                        found[d].update(block.names[k] for k in of if block.names[k] is not None)
                 if slack is not None:
                     at = index.near(window, slack)
                     inside = np.searchsorted(firsts, at, "right") - 1

@@ -229,6 +229,13 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs(spark, rows).limit(0), b).count() == 0
 
 
+def test_leaks_of_items_without_id(spark):
+    b = spark.createDataFrame([(None, "rare phrase"), (2, "single"), (None, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in leaks.find_leaks(docs(spark, [(1, "a rare phrase"), (2, "single rare phrase"), (3, "clean")]), b).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated, got[i]["items"]) for i in (1, 2, 3)] == [(2, 0, True, []), (3, 1, True, ["2"]), (0, 0, False, [])]
+    assert got[1].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 def removed(rows, length):
     seen = Counter()
     raw = [(t or "").encode() for _, t in rows]
