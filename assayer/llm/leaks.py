@@ -20,6 +20,8 @@ from . import bytekit as bk
 from .store import read
 
 WINDOW = 10
+#: Foreign words that a proximity match of op6_decontaminate may hold.
+SLACK = 2
 SEGMENT_BYTES = 16_000_000
 PIECE_BYTES = 1_000_000
 #: Items searched at once; a larger benchmark is searched block by block.
@@ -70,16 +72,27 @@ class Segment:
             found = found[other[at] == found + k]
         return found
 
-    def near(self, window: np.ndarray, slack: int) -> np.ndarray:
-        """Starts of the first term from which the others follow in order with at most ``slack`` foreign words between."""
-        found = self.postings(window[0])
+    def near(self, window: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last position of the matches of the terms in order with at most ``slack`` foreign words between: the
+        shortest one from each place of the first term. Only places near the rarest term are tried."""
+        rare = int(np.argmin(self.counts[window]))
+        found, anchors = self.postings(window[0]), self.postings(window[rare])
+        if not len(anchors):
+            return found[:0], found[:0]
+        if rare:
+            tried = np.unique((anchors[:, None] - rare - np.arange(slack + 1)).ravel())
+            found = tried[found[np.minimum(np.searchsorted(found, tried), len(found) - 1)] == tried]
         reach = found
-        for term in window[1:]:
+        for k, term in enumerate(window[1:], 1):
+            if not len(found):
+                break
             other = self.postings(term)
             at = np.searchsorted(other, reach, "right")
             ok = at < len(other)
             found, reach = found[ok], other[at[ok]]
-        return found[reach - found <= len(window) - 1 + slack]
+            ok = reach - found <= k + slack
+            found, reach = found[ok], reach[ok]
+        return found, reach
 
 
 def index_tokens(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +140,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                     for d in np.unique(np.searchsorted(firsts, starts, "right") - 1).tolist():
                         found[d].update(block.names[k] for k in of if block.names[k] is not None)
                 if slack is not None:
-                    at = index.near(window, slack)
+                    at, last = index.near(window, slack)
                     inside = np.searchsorted(firsts, at, "right") - 1
-                    same = inside == np.searchsorted(firsts, at + len(window) - 1, "right") - 1
+                    same = inside == np.searchsorted(firsts, last, "right") - 1
                     np.add.at(near, inside[same], 1)
         sums = np.concatenate(([0], np.cumsum(np.cumsum(hit)[:-1] > 0)))
         return np.diff(firsts) - 1, sums[firsts[1:]] - sums[firsts[:-1]], [sorted(f) for f in found], near
@@ -162,4 +175,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slack=SLACK).drop("items")

@@ -236,6 +236,31 @@ def test_leaks_of_items_without_id(spark):
     assert got[1].items_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_leaks_near(spark, tmp_path):
+    letters = lambda n: " ".join(RNG.choice(list("abcdefg"), n))
+    items = [(i, letters(3)) for i in range(20)] + [(20, "lone"), (21, "rare phrase"), (22, "x rare phrase")]
+    rows = [(i, letters(int(RNG.integers(0, 40)))) for i in range(60)] + [(60, "rare x y"), (61, "z phrase"), (62, "rare"), (63, "phrase"), (64, "rare x y phrase x rare rare z phrase")]
+
+    def shortest(w, window, slack):
+        n = 0
+        for start in (k for k, x in enumerate(w) if x == window[0]):
+            at = start
+            for term in window[1:]:
+                at = w.index(term, at + 1) if term in w[at + 1 :] else 10**6
+            n += at - start <= len(window) - 1 + slack
+        return n
+
+    d, b = docs(spark, rows, 1), spark.createDataFrame(items, "item_id long, text string")
+    windows = {tuple(words(t)) for _, t in items}
+    for slack in (0, 1, 2, 5):
+        near = {r.doc_id: r.n_near for r in leaks.find_leaks(d, b, slack=slack).collect()}
+        assert near == {i: sum(shortest(words(t), w, slack) for w in windows) for i, t in rows}
+    for name, t in ("documents", d), ("benchmark", b):
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    near = {r.doc_id: r.n_near for r in leaks.op6_decontaminate(spark, str(tmp_path)).collect()}
+    assert near == {i: sum(shortest(words(t), w, leaks.SLACK) for w in windows) for i, t in rows} and near[64] == 4
+
+
 def removed(rows, length):
     seen = Counter()
     raw = [(t or "").encode() for _, t in rows]
