@@ -20,14 +20,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates, and documents without id; rows that repeat an
-    id and a text stay once."""
-    first = near_duplicates(docs).where("doc_id = class_id").groupBy("doc_id").count()
+    """One row of each class of near duplicates: that of the smallest id, then of the smallest digest; a row without id
+    only if no row of its class has one. Rows that repeat an id and a text stay once; rows without id and without text
+    match none and all stay."""
+    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5("text").alias("digest")))
+    first = near_duplicates(keyed, doc_id="_row").where("doc_id <=> class_id").groupBy(F.col("doc_id").alias("_row")).count()
     first = materialize(first, "pipeline-first")
-    named = docs.where("doc_id is not null").join(first.select("doc_id"), "doc_id", "left_semi")
+    kept = keyed.join(first.select("_row"), "_row", "left_semi")
     if first.where("count > 1").limit(1).count():
-        named = named.withColumn("_same", F.md5("text")).dropDuplicates(["doc_id", "_same"])
-    return named.unionByName(docs.where("doc_id is null"), allowMissingColumns=True).select("doc_id", "text", "lang", "source", "n_chars")
+        bare = F.col("doc_id").isNull() & (F.coalesce("text", F.lit("")) == "")
+        kept = kept.where(~bare).dropDuplicates(["_row"]).unionByName(kept.where(bare))
+    return kept.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

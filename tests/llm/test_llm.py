@@ -409,3 +409,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert 304 not in clean and {300, 302, 305, None} <= clean
     out = c.run(spark, str(tmp_path)).collect()
     assert out and {304, 301}.isdisjoint({r.doc_id for r in out}) and all(r.taken == r.copies * r.size for r in out)
+
+
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline as c
+
+    a, b, x, y, z = (" ".join(f"{n}{k}" for k in range(60)) for n in "abxyz")
+    rows = [(1, a), (None, a), (None, a + " end"), (None, b), (None, b), (None, b + " end"), (6, x), (7, x + " end"), (7, y), (8, z), (8, z), (8, z + " end"), (None, None), (None, None), (None, ""), (9, ""), (9, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in c.drop_near_copies(spark, d, "").collect())
+    one = {(i, t[:2]): n for (i, t), n in got.items() if t}
+    assert one == {(1, "a0"): 1, (None, "b0"): 1, (6, "x0"): 1, (7, "y0"): 1, (8, "z0"): 1}
+    assert {k: n for k, n in got.items() if not k[1]} == {(None, None): 2, (None, ""): 1, (9, ""): 1}
