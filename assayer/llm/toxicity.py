@@ -22,8 +22,6 @@ from .quality import labelled_sample
 from .store import read
 
 SAMPLE_ROWS = 12_000
-#: At most so many lexicon entries are kept, the best first.
-ENTRIES = 200
 STEMS = (4, 5, 6)
 WINDOW = 6
 PIECE_BYTES = 500_000
@@ -144,16 +142,16 @@ class Automaton:
         return out
 
 
-def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, support: int = 4, precision: float = 0.8) -> list[Entry]:
-    """Words and stems that are far more frequent in toxic texts: counted by documents, in the cluster; at most
-    ``entries`` of them come to the driver. A stem must be more than the words that begin with it taken alone."""
+def learn_lexicon(sample: DataFrame, support: int = 4, precision: float = 0.8) -> list[Entry]:
+    """Words and stems that are far more frequent in toxic texts: counted by documents, in the cluster; all that
+    have the support and precision come to the driver, so their number is bounded by the sample. A stem must be more than the words that begin with it taken alone."""
     lower = F.translate("_text_", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.array_distinct(F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: (w != "") & (F.length(w) <= 40)))
     stem = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
     forms = F.array_distinct(F.concat(words, *(stem(n) for n in STEMS)))
     counts = sample.select("y", F.explode(forms).alias("form")).groupBy("form").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
     weight = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5))
-    good = counts.where((F.col("bad") >= support) & (F.col("bad") / F.col("n") >= precision)).withColumn("w", weight).orderBy(F.desc(F.col("w") * F.sqrt("bad")), "form").limit(4 * entries)
+    good = counts.where((F.col("bad") >= support) & (F.col("bad") / F.col("n") >= precision)).withColumn("w", weight).orderBy(F.desc(F.col("w") * F.sqrt("bad")), "form")
     rows = [(r.form, float(r.w), int(r.bad)) for r in good.collect()]
     by = {f: (w, n) for f, w, n in rows}
     out, covered = [], set()
@@ -165,7 +163,7 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, support: int = 4, p
                 out.append((f, w, n))
     out += [(f, w, n) for f, w, n in rows if not f.endswith("*") and not any(f.startswith(c) for c in covered)]
     out.sort(key=lambda r: (-r[1] * r[2] ** 0.5, r[0]))
-    return [Entry(f.rstrip("*").encode(), f.endswith("*"), w) for f, w, _ in out[:entries]]
+    return [Entry(f.rstrip("*").encode(), f.endswith("*"), w) for f, w, _ in out]
 
 
 FEATURES = ["hits", "strongest", "sum", "density", "exact", "near", "best_near", "quoted", "bare", "reported", "addressed", "words"]

@@ -392,6 +392,13 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(d.limit(0), toxicity.fit_toxicity(d.limit(0), labels.limit(0), toxicity.F.lit(True))).count() == 0
 
 
+def test_lexicon_keeps_every_form_with_support(spark):
+    terms = sorted({"".join(np.random.default_rng(i).choice(list("bcdfghjkmpqtvwz"), 9)) for i in range(900)})
+    rows = [(" ".join(terms[lo : lo + 100]), 1) for lo in range(0, len(terms), 100) for _ in range(4)] + [(prose(40, i), 0) for i in range(40)]
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "_text_ string, y int"))
+    assert all(any(e.text == t.encode() or e.stem and t.encode().startswith(e.text) for e in got) for t in terms) and len(got) > 800
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as c
 
