@@ -11,6 +11,9 @@ within an anchor's group. Consecutive starts with one anchor are a segment.
    many contents are first cut into slices of starts, grouped anew by the bytes that all windows of a slice share; the
    last slices are single windows, which are just counted.
 3. Marked starts go back to every document that holds the segment; the bytes they cover are removed.
+
+Two lengths are found in one go: a long repeat lies within the ranges that short repeats cover, so its search needs to
+read only those.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .store import materialize, read
+from .store import materialize, read, release
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
+#: A passage: bytes that every text of more than 50 words has (51 words of the documents here have 245 or more), and words.
+PASSAGE_BYTES, PASSAGE_WORDS = 240, 51
 GRAM = 48
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES = 2_000_000
@@ -190,8 +195,8 @@ def _mark(rows: DataFrame, length: int) -> DataFrame:
     return dealt.select(*[c.split()[0] for c in _ROWS.split(", ")]).repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long, lo int, hi int")
 
 
-def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
-    """_key_ and covered: ranges of bytes (begin, end) that a repeated window covers."""
+def repeated_ranges(keyed: DataFrame, length: int) -> DataFrame:
+    """_key_ and covered: ranges of bytes (begin, end) that a repeated window covers. Written; its helpers are deleted."""
     segs = materialize(_window_segments(keyed, length), "repeat-segments")
     contents = segs.groupBy("anchor", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("_key_", "lo", F.col("n").alias("starts"), "shift")).alias("one"))
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
@@ -203,7 +208,9 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
     raw = F.col("_text_").substr((F.col("w.lo") + 1).cast("int"), F.col("w.starts") + length - 1)
     open_ = one.select(F.col("w.anchor").cast("string").cast("binary").alias("group"), "w.a", "w.b", F.lit(0).alias("at"), "w.shift", raw.alias("bytes"), F.col("w.kinds").alias("crowd"))
     rows = materialize(open_.dropDuplicates(["a", "b"]), "repeat-open")
+    used = [segs, shared, rows]
     found = materialize(_mark(rows.where(F.col("crowd") <= CROWD).drop("crowd"), length), "repeat-marks")
+    used.append(found)
     level = rows.where(F.col("crowd") > CROWD).drop("crowd")
     for width in SLICES:
         if not level.limit(1).count():
@@ -217,61 +224,143 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
         sizes = cut.groupBy("group").agg(F.count("*").alias("crowd")).where("crowd > 1")
         sized = cut.join(sizes, "group")
         columns = [c.split()[0] for c in _ROWS.split(", ")]
-        found = found.unionByName(materialize(_mark(sized.where(F.col("crowd") <= CROWD).select(columns), length), "repeat-marks"))
+        marks = materialize(_mark(sized.where(F.col("crowd") <= CROWD).select(columns), length), "repeat-marks")
+        found = found.unionByName(marks)
+        used += [cut, marks]
         level = sized.where(F.col("crowd") > CROWD).select(columns)
-    parts = found.groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    whole = shared.where("n > 1").select("a", "b", F.array(F.struct(F.lit(0).alias("lo"), F.col("one.starts").alias("hi"))).alias("runs"))
-    partial = parts.join(whole.select("a", "b"), ["a", "b"], "left_anti")
-    hit = segs.select("_key_", "lo", "a", "b").join(whole.unionByName(partial), ["a", "b"])
+    runs = content_runs(shared, found)
+    # a left join on contents that are unique in ``runs``: one row for each segment, whatever repeats
+    joined = segs.select("_key_", "lo", "a", "b").join(runs, ["a", "b"], "left")
+    hit = joined.where(F.coalesce(F.size("runs"), F.least(F.col("lo"), F.lit(0))) > 0).dropDuplicates(["_key_", "lo", "a", "b"])
     each = F.transform("runs", lambda r: F.struct((F.col("lo") + r.lo).alias("begin"), (F.col("lo") + r.hi - 1 + length).alias("end")))
-    return hit.select("_key_", F.explode(each).alias("r")).groupBy("_key_").agg(F.collect_set("r").alias("covered"))
+    covered = materialize(hit.groupBy("_key_").agg(F.flatten(F.collect_list(each)).alias("covered")), "repeat-covered")
+    for df in used:
+        release(df)
+    return covered
 
 
-def dedupe_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row, with ``carry`` columns before and, if asked
-    for, the kept text (``kept``; a character cut in two goes) behind.
+def content_runs(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b (unique) and runs of repeated starts: all starts of a content that occurs twice, else those marked."""
+    whole = F.when(F.max("n") > 1, F.array(F.struct(F.lit(0).alias("lo"), F.max("starts").alias("hi"))))
+    both = shared.select("a", "b", "n", F.col("one.starts").alias("starts"), F.lit(None).cast("struct<lo:int,hi:int>").alias("run"))
+    both = both.unionByName(found.select("a", "b", F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("starts"), F.struct("lo", "hi").alias("run")))
+    return both.groupBy("a", "b").agg(F.coalesce(whole, F.collect_list("run")).alias("runs")).where("size(runs) > 0")
+
+
+def _merged(begins: list[int] | None, ends: list[int] | None) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that the ranges cover; runs that touch are one."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(zip(begins or (), ends or (), strict=True)):
+        if out and b <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((b, e))
+    return out
+
+
+def _words(raw: bytes, begin: int, end: int) -> int:
+    """Words (between blanks) that lie within a run as a whole."""
+    inside = len(raw[begin:end].split())
+    torn_head = begin > 0 and not raw[begin - 1 : begin].isspace() and not raw[begin : begin + 1].isspace()
+    torn_tail = end < len(raw) and not raw[end - 1 : end].isspace() and not raw[end : end + 1].isspace()
+    return inside - torn_head - torn_tail
+
+
+_RANGES = "begins array<long>, ends array<long>"
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
 
-    A byte goes if some window of ``length`` bytes over it also starts anywhere else, in this or another row; null
-    texts are empty, shorter ones keep all. Rows that repeat an id and a text are texts of their own that repeat each
-    other. Text is cut by bytes, so a kept rest can begin inside a character. An empty table gives an empty result.
-    """
-    carry = tuple(c for c in carry if c not in (doc_id, text))
-    keyed = _keyed(docs, doc_id, text)
-    covered = repeated_starts(keyed, length)
-    more = _keyed(docs, doc_id, text, carry)
-    both = more.join(covered, "_key_", "left")
-    names = ["_id_", *(f"_c_{c}" for c in carry)]
-    both = both.select(*names, "_text_", F.transform("covered", lambda r: r.begin).alias("begins"), F.transform("covered", lambda r: r.end).alias("ends"))
-    n_carry = len(names)
+
+def _split(ranges: str) -> list:
+    return [F.transform(ranges, lambda r: r.begin).alias("begins"), F.transform(ranges, lambda r: r.end).alias("ends")]
+
+
+def _fragments(runs: DataFrame, length: int) -> DataFrame:
+    """The ranges of ``length`` bytes or more as texts of their own, keyed by text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                size, gone, spans, digest, kept = [], [], [], [], []
-                for raw, begins, ends in zip(*(c.to_pylist() for c in part.columns[n_carry:]), strict=True):
-                    raw = raw or b""
-                    keep, last, count, reach = [], 0, 0, -1
-                    for b, e in sorted(zip(begins or (), ends or (), strict=True)):
-                        if b > reach:
-                            count += 1
-                            keep.append(raw[last:b])
-                        reach = max(reach, e)
-                        last = reach
-                    keep.append(raw[last:])
-                    rest = b"".join(keep)
-                    size.append(len(raw))
-                    gone.append(len(raw) - len(rest))
-                    spans.append(count)
-                    digest.append(hashlib.sha256(rest).hexdigest())
-                    kept.append(rest.decode("utf-8", "ignore") if with_kept else None)
-                columns = [*part.columns[:n_carry], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.string())] if with_kept else []), names=out_names)
-
-    out_names = [doc_id, *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
-    kinds = [both.schema[c].dataType.simpleString() for c in names] + ["long", "long", "long", "string", "string"]
-    return both.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in zip(out_names, kinds, strict=False)))
+                keys, texts = [], []
+                for key, raw, begins, ends in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    for b, e in zip(begins, ends, strict=True):
+                        if e - b >= length:
+                            keys.append(f"{key}:{b}")
+                            texts.append(raw[b:e])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.binary())], names=["_key_", "_text_"])
+
+    return runs.select("_key_", "_text_", "begins", "ends").mapInArrow(run, "_key_ string, _text_ binary")
+
+
+def dedupe_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, with_kept: bool = False, carry: tuple[str, ...] = (), words: int = 0, passage: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row, with ``carry`` columns before and, if asked
+    for, the kept text (``kept``; a character cut in two goes) behind.
+
+    A byte goes if some window of ``length`` bytes over it also starts anywhere else, in this or another row; with
+    ``words`` only in runs of so many whole words. ``passage`` (bytes not above ``length``, words) also counts such runs,
+    without removing them: n_passages and n_passage_bytes. Null texts are empty, shorter ones keep all. Rows that repeat
+    an id and a text are texts of their own that repeat each other. Text is cut by bytes, so a kept rest can begin inside
+    a character. A carried column with a result's name is left out. An empty table gives an empty result; texts of any
+    length are read in pieces that overlap by a window.
+    """
+    counts = ("n_passages", "n_passage_bytes") if passage else ()
+    carry = tuple(c for c in dict.fromkeys(carry) if c not in (doc_id, text, *RESULTS, *counts, "kept"))
+    if passage and passage[0] > length:
+        raise ValueError("a passage is not longer than a removed repeat")
+    short, least = passage or (length, words)
+    keyed, more = _keyed(docs, doc_id, text), _keyed(docs, doc_id, text, carry)
+    names = ["_id_", *(f"_c_{c}" for c in carry)]
+    own = [F.col(c) for c in names]
+    # rows without repeats are judged at once; of the others the text goes on
+    both = more.join(repeated_ranges(keyed, short), "_key_", "left").select(*own, "_key_", "_text_", *_split("covered"))
+    n_own = len(names)
+    fields = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in names)
+
+    def judge(min_words: int, passages: bool):
+        """Takes own columns, key, text, ranges (and passages); gives own columns and results."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    out: list[tuple] = []
+                    for raw, begins, ends in zip(*(c.to_pylist() for c in part.columns[n_own + 1 : n_own + 4]), strict=True):
+                        spans = [(b, e) for b, e in _merged(begins, ends) if not min_words or _words(raw, b, e) >= min_words]
+                        edges = [0, *(x for s in spans for x in s), len(raw)]
+                        rest = b"".join(raw[b:e] for b, e in zip(edges[::2], edges[1::2], strict=True))
+                        out.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_kept else None))
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                    results = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:n_own], *(part.columns[n_own + 4 :] if passages else ()), *results[: 4 + with_kept]], names=out_names)
+
+        out_names = [*names, *(counts if passages else ()), *RESULTS, *(["kept"] if with_kept else [])]
+        kinds = "".join(f", {c} long" for c in counts if passages) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_kept else "")
+        return run, fields + kinds
+
+    if passage:
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    out = []
+                    for raw, begins, ends in zip(*(c.to_pylist() for c in part.columns[n_own + 1 :]), strict=True):
+                        spans = _merged(begins, ends)
+                        long = [s for s in spans if _words(raw, *s) >= least]
+                        out.append(([b for b, _ in spans], [e for _, e in spans], len(long), sum(e - b for b, e in long)))
+                    kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+                    results = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: n_own + 2], *results], names=[*names, "_key_", "_text_", "begins", "ends", *counts])
+
+        marked = materialize(both.mapInArrow(mark, f"{fields}, _key_ string, _text_ binary, {_RANGES}, n_passages long, n_passage_bytes long"), "repeat-runs")
+        fragments = _fragments(marked, length)
+        found = repeated_ranges(fragments, length)
+        found = found.select(F.substring_index("_key_", ":", 1).alias("key"), F.substring_index("_key_", ":", -1).cast("long").alias("place"), "covered")
+        found = found.select(F.col("key").alias("_key_"), F.transform("covered", lambda r: F.struct((r.begin + F.col("place")).alias("begin"), (r.end + F.col("place")).alias("end"))).alias("covered"))
+        found = found.groupBy("_key_").agg(F.flatten(F.collect_list("covered")).alias("covered"))
+        both = marked.drop("begins", "ends").join(found, "_key_", "left").select(*own, "_key_", "_text_", *_split("covered"), *counts)
+    run, schema = judge(0 if passage else words, bool(passage))
+    out = both.mapInArrow(run, schema)
+    return out.select(*(F.col(c).alias(n) for c, n in zip(names, [doc_id, *carry], strict=True)), *RESULTS, *(["kept"] if with_kept else []), *counts)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe_repeats(read(spark, sf_dir, "documents"))
+    return dedupe_repeats(read(spark, sf_dir, "documents"), passage=(PASSAGE_BYTES, PASSAGE_WORDS))

@@ -294,6 +294,48 @@ def test_repeats_pieces(spark, monkeypatch):
     assert Counter(tuple(r) for r in repeats.dedupe_repeats(docs(spark, rows)).collect()) == removed(rows, 400)
 
 
+def passages(rows, length, least):
+    """Number and bytes of the maximal runs that repeated windows cover and that hold so many whole words."""
+    seen = Counter()
+    raw = [(t or "").encode() for _, t in rows]
+    for r in raw:
+        seen.update(r[i : i + length] for i in range(len(r) - length + 1))
+    out = Counter()
+    for (i, _), r in zip(rows, raw, strict=True):
+        gone = np.zeros(len(r), bool)
+        for k in range(len(r) - length + 1):
+            gone[k : k + length] |= seen[r[k : k + length]] > 1
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0]))))
+        runs = [(b, e) for b, e in zip(edges[::2], edges[1::2], strict=True) if sum(b <= m.start() and m.end() <= e for m in re.finditer(rb"\S+", r)) >= least]
+        out[i, len(runs), int(sum(e - b for b, e in runs))] += 1
+    return out
+
+
+def test_passages(spark):
+    passage, short = prose(55, 50), prose(40, 51)
+    rows = [*EDGE, (30, prose(90, 60) + " " + passage + " " + prose(50, 61)), (31, prose(20, 62) + "x" + passage + "\n" + prose(9, 63)), (33, "la " * 300), (34, short + prose(70, 64)), (35, prose(70, 65) + short)]
+    rows += [(100 + i, prose(30 + i, 200 + i) + " " + prose(150, 52) + " " + prose(40, 300 + i)) for i in range(12)]
+    got = repeats.dedupe_repeats(docs(spark, rows), passage=(240, 51)).collect()
+    assert Counter(tuple(r)[:5] for r in got) == removed(rows, 400)
+    assert Counter((r.doc_id, r.n_passages, r.n_passage_bytes) for r in got) == passages(rows, 240, 51)
+    only = repeats.dedupe_repeats(docs(spark, rows), length=240, words=51, with_kept=True).collect()
+    assert Counter((r.doc_id, r.n_spans, r.n_removed) for r in only) == passages(rows, 240, 51)
+    assert repeats.dedupe_repeats(docs(spark, rows).limit(0), passage=(240, 51)).count() == 0
+
+
+def test_contents_are_unique(spark):
+    shared = spark.createDataFrame([(1, 1, 3, ("k", 5)), (1, 2, 1, ("k", 4)), (2, 2, 1, ("k", 3))], "a long, b long, n long, one struct<key:string,starts:int>")
+    found = spark.createDataFrame([(1, 1, 0, 2), (1, 2, 1, 2), (1, 2, 3, 4)], "a long, b long, lo int, hi int")
+    got = {(r.a, r.b): sorted(map(tuple, r.runs)) for r in repeats.content_runs(shared, found).collect()}
+    assert got == {(1, 1): [(0, 5)], (1, 2): [(1, 2), (3, 4)]} and repeats.content_runs(shared, found).count() == 2
+
+
+def test_carried_columns_that_clash(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "rare phrase", 7, 8, "s")], "doc_id long, text string, n_bytes long, n_hit long, items string")
+    cut = repeats.dedupe_repeats(rows, carry=("n_bytes", "n_hit", "doc_id", "n_hit")).first()
+    assert cut.n_bytes == 11 and cut.n_hit == 8
+
+
 def test_suffix_array():
     for case in range(300):
         rng = np.random.default_rng(case)
