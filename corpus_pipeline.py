@@ -9,7 +9,7 @@ from assayer.llm.leaks import find_leaks
 from assayer.llm.mixing import mix_sources
 from assayer.llm.neardup import near_duplicates
 from assayer.llm.quality import quality_model, score_quality
-from assayer.llm.repeats import dedupe_repeats
+from assayer.llm.repeats import PASSAGE_BYTES, PASSAGE_WORDS, dedupe_repeats
 from assayer.llm.store import materialize, read
 
 
@@ -34,8 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without long repeats; a character cut in two goes with the repeat."""
-    cut = dedupe_repeats(docs, with_kept=True, carry=("lang", "source", "n_chars"))
+    """Texts without passages of more than 50 words that also stand elsewhere; a character cut in two goes with them.
+    Null texts become empty; repeated rows repeat each other; an empty table stays empty."""
+    cut = dedupe_repeats(docs, length=PASSAGE_BYTES, words=PASSAGE_WORDS, with_kept=True, carry=("lang", "source", "n_chars"))
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
 
 
