@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .store import materialize, read, release
+from .store import materialize, read, release, tidy
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
@@ -90,7 +90,7 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int, overlap: int):
 def _keyed(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows with a key; equal rows (id and text) share it, and get the same result."""
     bytes_ = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return docs.select(F.col(doc_id).alias("_id_"), *(F.col(c).alias(f"_c_{c}") for c in carry), bytes_.alias("_text_"), F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary"), F.lit(b"\x00"), bytes_)).alias("_key_"))
+    return docs.select(F.col(doc_id).alias("_id_"), *(F.col(c).alias(f"_c_{c}") for c in carry), bytes_.alias("_text_"), F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary"), F.lit(b"\x00"), bytes_))).alias("_key_"))
 
 
 def _window_segments(keyed: DataFrame, length: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _window_segments(keyed: DataFrame, length: int) -> DataFrame:
             row, lo, hi, shift, anchor, a, b = segments(data, offsets, length)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(lo + at), pa.array((hi - lo).astype(np.int32)), pa.array(shift.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (anchor, a, b))], names=["_key_", "lo", "n", "shift", "anchor", "a", "b"])
 
-    return keyed.select("_key_", "_text_").mapInArrow(run, "_key_ string, lo long, n int, shift int, anchor long, a long, b long")
+    return keyed.select("_key_", "_text_").mapInArrow(run, "_key_ binary, lo long, n int, shift int, anchor long, a long, b long")
 
 
 #: A content (or a slice of it from start ``at`` on) in its group; ``shift`` is the distance from its first start to the anchor.
@@ -198,16 +198,21 @@ def _mark(rows: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(keyed: DataFrame, length: int) -> DataFrame:
     """_key_ and covered: ranges of bytes (begin, end) that a repeated window covers. Written; its helpers are deleted."""
     segs = materialize(_window_segments(keyed, length), "repeat-segments")
-    contents = segs.groupBy("anchor", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("_key_", "lo", F.col("n").alias("starts"), "shift")).alias("one"))
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
-    shared = materialize(contents.join(anchors.where("all > 1"), "anchor"), "repeat-contents")
+    # most anchors stand once: only numbers are shuffled to find that out; a left join, so one row for each segment
+    often = segs.groupBy("anchor").agg(F.count("*").alias("often")).where("often > 1")
+    asked = segs.join(often, "anchor", "left").where(F.coalesce("often", F.least(F.col("lo"), F.lit(0))) > 1).drop("often")
+    asked = tidy(materialize(asked, "repeat-asked"))
+    contents = asked.groupBy("anchor", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("_key_", "lo", F.col("n").alias("starts"), "shift")).alias("one"))
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    shared = tidy(materialize(contents.join(kinds, "anchor"), "repeat-contents"))
+    release(asked)
     # one copy of every content that has to be compared; those that repeat as a whole are partners of the others
     fetch = shared.where("kinds > 1").select("one.*", "anchor", "a", "b", "kinds")
     by_text = fetch.groupBy("_key_").agg(F.collect_list(F.struct("lo", "starts", "shift", "anchor", "a", "b", "kinds")).alias("want"))
     one = keyed.select("_key_", "_text_").join(by_text, "_key_").select("_text_", F.explode("want").alias("w"))
     raw = F.col("_text_").substr((F.col("w.lo") + 1).cast("int"), F.col("w.starts") + length - 1)
     open_ = one.select(F.col("w.anchor").cast("string").cast("binary").alias("group"), "w.a", "w.b", F.lit(0).alias("at"), "w.shift", raw.alias("bytes"), F.col("w.kinds").alias("crowd"))
-    rows = materialize(open_.dropDuplicates(["a", "b"]), "repeat-open")
+    rows = tidy(materialize(open_.dropDuplicates(["a", "b"]), "repeat-open"))
     used = [segs, shared, rows]
     found = materialize(_mark(rows.where(F.col("crowd") <= CROWD).drop("crowd"), length), "repeat-marks")
     used.append(found)
@@ -284,11 +289,11 @@ def _fragments(runs: DataFrame, length: int) -> DataFrame:
                 for key, raw, begins, ends in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     for b, e in zip(begins, ends, strict=True):
                         if e - b >= length:
-                            keys.append(f"{key}:{b}")
+                            keys.append(key + b.to_bytes(8, "big"))
                             texts.append(raw[b:e])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.binary())], names=["_key_", "_text_"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.binary())], names=["_key_", "_text_"])
 
-    return runs.select("_key_", "_text_", "begins", "ends").mapInArrow(run, "_key_ string, _text_ binary")
+    return runs.select("_key_", "_text_", "begins", "ends").mapInArrow(run, "_key_ binary, _text_ binary")
 
 
 def dedupe_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, with_kept: bool = False, carry: tuple[str, ...] = (), words: int = 0, passage: tuple[int, int] | None = None) -> DataFrame:
@@ -350,10 +355,10 @@ def dedupe_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     results = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
                     yield pa.RecordBatch.from_arrays([*part.columns[: n_own + 2], *results], names=[*names, "_key_", "_text_", "begins", "ends", *counts])
 
-        marked = materialize(both.mapInArrow(mark, f"{fields}, _key_ string, _text_ binary, {_RANGES}, n_passages long, n_passage_bytes long"), "repeat-runs")
+        marked = materialize(both.mapInArrow(mark, f"{fields}, _key_ binary, _text_ binary, {_RANGES}, n_passages long, n_passage_bytes long"), "repeat-runs")
         fragments = _fragments(marked, length)
         found = repeated_ranges(fragments, length)
-        found = found.select(F.substring_index("_key_", ":", 1).alias("key"), F.substring_index("_key_", ":", -1).cast("long").alias("place"), "covered")
+        found = found.select(F.substring("_key_", 1, 16).alias("key"), F.conv(F.hex(F.substring("_key_", 17, 8)), 16, 10).cast("long").alias("place"), "covered")
         found = found.select(F.col("key").alias("_key_"), F.transform("covered", lambda r: F.struct((r.begin + F.col("place")).alias("begin"), (r.end + F.col("place")).alias("end"))).alias("covered"))
         found = found.groupBy("_key_").agg(F.flatten(F.collect_list("covered")).alias("covered"))
         both = marked.drop("begins", "ends").join(found, "_key_", "left").select(*own, "_key_", "_text_", *_split("covered"), *counts)

@@ -26,16 +26,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def tidy(df: DataFrame) -> DataFrame:
+    """After a table was written: have the driver collect garbage, as Spark removes the shuffle files of what led to it
+    only after that."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def release(df: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing reads it any more, and have the driver collect garbage: Spark removes
-    the shuffle files of ended rounds only after that, and a loop's plans would else pile up in the driver."""
+    """Delete what materialize() wrote, once nothing reads it any more, and tidy()."""
     path = getattr(df, "_stored_at", None)
     if path:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-        gc.collect()
-        jvm.System.gc()
+        tidy(df)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
