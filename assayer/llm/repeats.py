@@ -199,7 +199,7 @@ def repeated_ranges(keyed: DataFrame, length: int) -> DataFrame:
     """_key_ and covered: ranges of bytes (begin, end) that a repeated window covers. Written; its helpers are deleted."""
     segs = materialize(_window_segments(keyed, length), "repeat-segments")
     # most anchors stand once: only numbers are shuffled to find that out; a left join, so one row for each segment
-    often = segs.groupBy("anchor").agg(F.count("*").alias("often")).where("often > 1")
+    often = materialize(segs.groupBy("anchor").agg(F.count("*").alias("often")).where("often > 1"), "repeat-often")  # written, so that a hot anchor's side can be split
     asked = segs.join(often, "anchor", "left").where(F.coalesce("often", F.least(F.col("lo"), F.lit(0))) > 1).drop("often")
     asked = tidy(materialize(asked, "repeat-asked"))
     contents = asked.groupBy("anchor", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("_key_", "lo", F.col("n").alias("starts"), "shift")).alias("one"))
@@ -213,7 +213,7 @@ def repeated_ranges(keyed: DataFrame, length: int) -> DataFrame:
     raw = F.col("_text_").substr((F.col("w.lo") + 1).cast("int"), F.col("w.starts") + length - 1)
     open_ = one.select(F.col("w.anchor").cast("string").cast("binary").alias("group"), "w.a", "w.b", F.lit(0).alias("at"), "w.shift", raw.alias("bytes"), F.col("w.kinds").alias("crowd"))
     rows = tidy(materialize(open_.dropDuplicates(["a", "b"]), "repeat-open"))
-    used = [segs, shared, rows]
+    used = [segs, often, shared, rows]
     found = materialize(_mark(rows.where(F.col("crowd") <= CROWD).drop("crowd"), length), "repeat-marks")
     used.append(found)
     level = rows.where(F.col("crowd") > CROWD).drop("crowd")
