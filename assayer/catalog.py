@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import lexicon as lx
+from .operators import claims as cl
+from .operators import normalize as nz
 from .operators import relations as rel
 from .operators import retrieval as rt
+from .operators import segment as sg
 from .operators import text as tx
+from .plans import flagship
 from .sources import adapters as ad
-from .sources import identifiers as ids
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,6 +29,11 @@ def query(sql: str | None = None):
 
 
 N, S, P, T = (f"({x})" for x in (ad.NCLAIMS, ad.SENTENCES, ad.PAGED, ad.TRACES))
+def _mean(keep: str = "") -> str:
+    some = f" FILTER ({keep})" if keep else ""
+    return f"(2 * sum(CAST(round(value * 1000000) AS HUGEINT)){some} + count(value){some}) // (2 * count(value){some}) / 1000000"
+
+
 _PAIR = "a.ord < b.ord AND a.context_id IS NOT DISTINCT FROM b.context_id AND a.metric IS NOT DISTINCT FROM b.metric"
 _OPPOSED = "(a.polarity <> b.polarity AND abs(a.value - b.value) <= 1e-9 + 1e-12)"
 _CONTRA = f"""SELECT a.claim_id AS claim_a, b.claim_id AS claim_b, a.context_id, lower(a.subject) AS subject, a.metric, round(abs(a.value - b.value), 6) AS difference,
@@ -41,7 +49,7 @@ def contradictions(spark, d):
     return rel.contradictions(ad.view(spark, d, ad.NCLAIMS))
 
 
-@query(f"SELECT context_id, metric, count(*) AS n, count(DISTINCT lower(subject)) AS subjects, min(value) AS value_min, max(value) AS value_max, round(avg(value), 6) AS value_mean, round(max(value) - min(value), 6) AS value_range FROM {N} WHERE subtype = 'absolute' GROUP BY context_id, metric HAVING count(*) >= 2 AND count(DISTINCT lower(subject)) >= 2")
+@query(f"SELECT context_id, metric, count(*) AS n, count(DISTINCT lower(subject)) AS subjects, min(value) AS value_min, max(value) AS value_max, {_mean()} AS value_mean, round(max(value) - min(value), 6) AS value_range FROM {N} WHERE subtype = 'absolute' GROUP BY context_id, metric HAVING count(*) >= 2 AND count(DISTINCT lower(subject)) >= 2")
 def perf_variance(spark, d):
     return rel.performance_variance(ad.view(spark, d, ad.NCLAIMS))
 
@@ -56,7 +64,7 @@ def legacy_contradictions(spark, d):
     return rel.legacy_contradictions(ad.view(spark, d, ad.NCLAIMS))
 
 
-@query(f"SELECT g.*, round(coalesce(c, 0) / (n * (n - 1) / 2), 6) AS density FROM (SELECT context_id, metric, count(*) AS n, round(avg(value), 6) AS value_mean, min(value) AS value_min, max(value) AS value_max FROM {N} GROUP BY context_id, metric HAVING count(*) >= 2) g LEFT JOIN (SELECT context_id, metric, count(*) AS c FROM ({_LEGACY}) GROUP BY ALL) f USING (context_id, metric)")
+@query(f"SELECT g.*, round(coalesce(c, 0) / (n * (n - 1) / 2), 6) AS density FROM (SELECT context_id, metric, count(*) AS n, {_mean()} AS value_mean, min(value) AS value_min, max(value) AS value_max FROM {N} GROUP BY context_id, metric HAVING count(*) >= 2) g LEFT JOIN (SELECT context_id, metric, count(*) AS c FROM ({_LEGACY}) GROUP BY ALL) f USING (context_id, metric)")
 def consensus(spark, d):
     return rel.consensus(ad.view(spark, d, ad.NCLAIMS))
 
@@ -71,13 +79,17 @@ def context_boost(spark, d):
     return rel.context_boost(ad.view(spark, d, ad.NCLAIMS))
 
 
-@query(f"""WITH n AS {N}, g AS (SELECT context_id, metric, count(*) AS total, coalesce(min(value) FILTER (subtype = 'absolute'), min(value)) AS value_min, coalesce(max(value) FILTER (subtype = 'absolute'), max(value)) AS value_max,
- round(coalesce(avg(value) FILTER (subtype = 'absolute'), avg(value)), 6) AS value_mean, count(*) FILTER (polarity = 'supports') AS supporting, count(*) FILTER (polarity = 'refutes') AS refuting FROM n GROUP BY ALL),
- c AS (SELECT context_id, metric, count(*) AS k FROM ({_CONTRA}) GROUP BY ALL), b AS (SELECT DISTINCT context_id, metric, true AS boost FROM n SEMI JOIN ({_BOOST}) USING (subject, metric)),
+def _beliefs_sql(n: str, contradictions: str, boost: str) -> str:
+    return f"""WITH n AS {n}, g AS (SELECT context_id, metric, count(*) AS total, coalesce(min(value) FILTER (subtype = 'absolute'), min(value)) AS value_min, coalesce(max(value) FILTER (subtype = 'absolute'), max(value)) AS value_max,
+ coalesce({_mean("subtype = 'absolute'")}, {_mean()}) AS value_mean, count(*) FILTER (polarity = 'supports') AS supporting, count(*) FILTER (polarity = 'refutes') AS refuting FROM n GROUP BY ALL),
+ c AS (SELECT context_id, metric, count(*) AS k FROM ({contradictions}) GROUP BY ALL), b AS (SELECT DISTINCT context_id, metric, true AS boost FROM n SEMI JOIN ({boost}) USING (subject, metric)),
  j AS (SELECT g.*, coalesce(k, 0) AS contradictions, CASE WHEN total > 1 THEN coalesce(k, 0) / (total * (total - 1) / 2) ELSE 0.0 END AS den, coalesce(boost, false) AS boost, CASE WHEN supporting + refuting > 0 THEN supporting / (supporting + refuting) ELSE 0.0 END AS ratio FROM g LEFT JOIN c USING (context_id, metric) LEFT JOIN b USING (context_id, metric))
  SELECT context_id, metric, total, value_min, value_max, value_mean, supporting, refuting, contradictions, round(den, 6) AS density, supporting - refuting AS strength,
  CASE WHEN supporting >= 3 AND ratio >= 0.75 AND den <= 0.2 THEN 'high' WHEN supporting >= 2 AND ratio >= 0.6 THEN 'medium' WHEN boost THEN 'medium' ELSE 'low' END AS confidence,
- CASE WHEN supporting + refuting = 0 THEN 'insufficient_evidence' WHEN refuting = 0 THEN 'supported' WHEN refuting > supporting THEN 'contested' ELSE 'weakly_supported' END AS status FROM j""")
+ CASE WHEN supporting + refuting = 0 THEN 'insufficient_evidence' WHEN refuting = 0 THEN 'supported' WHEN refuting > supporting THEN 'contested' ELSE 'weakly_supported' END AS status FROM j"""
+
+
+@query(_beliefs_sql(N, _CONTRA, _BOOST))
 def beliefs(spark, d):
     return rel.beliefs(ad.view(spark, d, ad.NCLAIMS))
 
@@ -92,7 +104,7 @@ def ordered_dedup(spark, d):
     return rel.first_of(ad.table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@query(f"SELECT session_id, tool, count(*) AS calls, sum(tokens) AS tokens, round(avg(duration), 4) AS mean_duration, round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, round(count(*) FILTER (cache_hit) / count(*), 6) AS cache_rate FROM {T} GROUP BY ROLLUP (session_id, tool)")
+@query(f"SELECT session_id, tool, count(*) AS calls, sum(tokens) AS tokens, (2 * sum(CAST(round(duration * 10000) AS BIGINT)) + count(*)) // (2 * count(*)) / 10000 AS mean_duration, round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, round(count(*) FILTER (cache_hit) / count(*), 6) AS cache_rate FROM {T} GROUP BY ROLLUP (session_id, tool)")
 def tool_metrics(spark, d):
     return rel.tool_metrics(ad.view(spark, d, ad.TRACES))
 
@@ -137,7 +149,7 @@ def chunk_window(spark, d):
 
 @query()
 def sentence_chunks(spark, d):
-    return tx.sentences(ad.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "sentence_index", "start_char", "end_char", F.sha2("sentence", 256).alias("sentence_hash"))
+    return sg.sentences(ad.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "sentence_index", "start_char", "end_char", F.sha2("sentence", 256).alias("sentence_hash"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS distinct_n FROM documents")
@@ -166,19 +178,62 @@ def paragraphs(spark, d):
     return tx.paragraphs(ad.view(spark, d, ad.PAGED)).select("source_id", "page", "ord", "paragraph")
 
 
-@query(f"SELECT *, CASE WHEN datasets <> '' THEN 'explicit' WHEN metrics <> '' THEN 'inferred' ELSE 'none' END AS context_source FROM (SELECT source_id, CAST(paragraph AS BIGINT) AS paragraph, count(*) AS chunks, coalesce(string_agg(DISTINCT dataset, ',' ORDER BY dataset), '') AS datasets, coalesce(string_agg(DISTINCT metric, ',' ORDER BY metric), '') AS metrics, min(dataset) AS inferred FROM ({_PARA}) GROUP BY source_id, paragraph)")
+@query(f"SELECT *, CASE WHEN datasets <> '' THEN 'explicit' WHEN metrics <> '' THEN 'inferred' ELSE 'none' END AS context_source FROM (SELECT source_id, CAST(paragraph AS BIGINT) AS paragraph, count(*) AS chunks, false AS compares, min(metric) AS inferred_metric, coalesce(string_agg(DISTINCT dataset, ',' ORDER BY dataset), '') AS datasets, coalesce(string_agg(DISTINCT metric, ',' ORDER BY metric), '') AS metrics, min(dataset) AS inferred FROM ({_PARA}) GROUP BY source_id, paragraph)")
 def paragraph_context(spark, d):
     return tx.paragraph_contexts(ad.view(spark, d, ad.PAGED))
 
 
-@query()
+#: What the cascade makes of the synthetic sentences, by the template that each was made from.
+_Q = "cast(l_quantity AS int)"
+_DATA = "CASE l_returnflag WHEN 'A' THEN 'GLUE' WHEN 'N' THEN 'SQuAD' ELSE 'ImageNet' END"
+_EXPECTED = f"""SELECT ord, source_id, k, CASE k WHEN 0 THEN 'performance' WHEN 1 THEN 'efficiency' WHEN 2 THEN 'structural' WHEN 3 THEN 'performance' WHEN 6 THEN 'performance' WHEN 8 THEN 'efficiency' END AS claim_type,
+ CASE k WHEN 0 THEN 'ctx_' || lower({_DATA}) WHEN 1 THEN 'ctx_efficiency' WHEN 2 THEN 'ctx_structural' WHEN 3 THEN 'ctx_metric_accuracy' WHEN 6 THEN 'ctx_wmt' WHEN 8 THEN 'ctx_cifar-10' END AS context_id,
+ CASE k WHEN 0 THEN concat('Supplier ', l_suppkey) WHEN 1 THEN 'Training' WHEN 2 THEN concat('The model number ', l_partkey) WHEN 3 THEN 'The network may achieve' WHEN 6 THEN concat('BLEU score of ', {_Q}, ' was') WHEN 8 THEN concat('System ', l_suppkey) END AS subject,
+ CASE k WHEN 0 THEN 'achieves' WHEN 1 THEN 'requires' WHEN 2 THEN 'introduces' WHEN 3 THEN 'scores' WHEN 6 THEN 'reported' WHEN 8 THEN 'runs' END AS predicate,
+ CASE k WHEN 0 THEN concat(40 + {_Q}, '% accuracy on ', {_DATA}) WHEN 1 THEN concat({_Q}, ' hours on a single V100') WHEN 2 THEN 'a transformer-based architecture' WHEN 3 THEN concat({_Q}, '% accuracy on the dataset')
+ WHEN 6 THEN concat('on WMT in ', 1990 + l_linenumber) WHEN 8 THEN concat('in ', {_Q}, ' ms latency and reaches ', 1 + {_Q}, ' fps on CIFAR-10') END AS object, CASE WHEN k IN (0, 1, 2, 3, 6, 8) THEN 'absolute' END AS claim_subtype,
+ CASE k WHEN 4 THEN 'no_predicate' WHEN 5 THEN 'context_missing' WHEN 7 THEN 'context_missing' END AS reason, CASE k WHEN 0 THEN (40 + {_Q}) / 100.0 WHEN 3 THEN {_Q} / 100.0 WHEN 8 THEN {_Q} / 1000.0 END AS value
+ FROM (SELECT *, l_orderkey % 9 AS k, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100 + cast(l_quantity AS bigint) AS ord, concat('src_', l_suppkey) AS source_id FROM lineitem)"""
+_CLAIMS = f"SELECT *, CASE WHEN reason IS NULL THEN 'claim_' || sha256(concat_ws('|', context_id, subject, predicate, object)) END AS claim_id FROM ({_EXPECTED})"
+_NORMAL = f"""SELECT ord, claim_id, context_id, subject, predicate, CASE k WHEN 0 THEN 'ACCURACY' WHEN 3 THEN 'ACCURACY' WHEN 8 THEN 'LATENCY' END AS metric, CAST(value AS DOUBLE) AS value, CASE k WHEN 0 THEN 'ratio' WHEN 3 THEN 'ratio' WHEN 8 THEN 's' END AS unit,
+ CASE k WHEN 0 THEN concat(regexp_extract(object, '^[0-9]+'), '%') WHEN 3 THEN concat(regexp_extract(object, '^[0-9]+'), '%') WHEN 8 THEN concat(regexp_extract(object, '^in ([0-9]+)', 1), 'ms') END AS value_raw,
+ CASE WHEN k NOT IN (0, 3, 8) THEN 'missing_metric' END AS reason_none, CASE WHEN k IN (0, 3, 8) THEN 'adjacent' END AS how, 'supports' AS polarity, claim_subtype AS subtype FROM ({_CLAIMS}) WHERE reason IS NULL"""
+_VALUED = f"(SELECT * FROM ({_NORMAL}) WHERE reason_none IS NULL)"
+
+
+@query(f"SELECT ord, source_id, 0 AS claim_index, claim_type, context_id, subject, predicate, object, claim_subtype, claim_id, reason FROM ({_CLAIMS})")
 def claim_extract(spark, d):
-    return tx.extract_claims(ad.view(spark, d, ad.SENTENCES)).drop("text")
+    return cl.extract_claims(ad.view(spark, d, ad.SENTENCES)).drop("text")
 
 
-@query()
+@query(f"SELECT reason, count(*) AS n FROM ({_EXPECTED}) GROUP BY reason")
 def claim_reasons(spark, d):
-    return tx.extract_claims(ad.view(spark, d, ad.SENTENCES)).groupBy("reason").agg(F.count("*").alias("n"))
+    return cl.extract_claims(ad.view(spark, d, ad.SENTENCES)).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT ord, claim_id, metric, value, unit, value_raw, reason_none, how FROM ({_NORMAL})")
+def normalize(spark, d):
+    claims = cl.extract_claims(ad.view(spark, d, ad.SENTENCES)).where("reason is null")
+    return nz.normalize_claims(claims).select("ord", "claim_id", "metric", "value", "unit", "value_raw", "reason_none", "how")
+
+
+@query(f"SELECT reason_none, how, count(*) AS n FROM ({_NORMAL}) GROUP BY ALL")
+def normalize_diagnostics(spark, d):
+    return nz.diagnostics(normalize(spark, d))
+
+
+@query(f"SELECT ord, CASE k WHEN 0 THEN CASE WHEN l.l_returnflag = 'A' THEN 'ACCURACY,GLUE_SCORE' ELSE 'ACCURACY' END WHEN 3 THEN 'ACCURACY' WHEN 4 THEN 'LATENCY' WHEN 6 THEN 'BLEU' WHEN 8 THEN 'LATENCY,FPS' ELSE '' END AS metrics, CASE k WHEN 0 THEN CASE WHEN l.l_returnflag = 'A' THEN NULL ELSE 'ACCURACY' END WHEN 3 THEN 'ACCURACY' WHEN 4 THEN 'LATENCY' WHEN 6 THEN 'BLEU' END AS resolved FROM (SELECT l_returnflag, l_orderkey % 9 AS k, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100 + cast(l_quantity AS bigint) AS ord FROM lineitem) l")
+def metric_ontology(spark, d):
+    return nz.resolve_metrics(ad.view(spark, d, ad.SENTENCES)).select("ord", F.array_join("metrics", ",").alias("metrics"), "resolved")
+
+
+def _contra_sql(n: str) -> str:
+    return _CONTRA.replace(N, n)
+
+
+@query(_beliefs_sql(_VALUED, _contra_sql(_VALUED), _BOOST.replace(N, _VALUED)))
+def text_beliefs(spark, d):
+    return flagship.beliefs_of_texts(ad.view(spark, d, ad.SENTENCES))
 
 
 @query(rf"SELECT ord, regexp_matches(text, '(?i)\b(?:{lx.DELTA})') AS is_delta, (({' OR '.join(f'contains(lower(text), {h!r})' for h in lx.HEDGES)}) AND NOT (regexp_matches(text, '\d') AND regexp_matches(text, '(?i)\b({lx.CLAIM_METRICS})\b'))) AS hedged FROM {S}")
@@ -266,34 +321,10 @@ def metric_artifacts(spark, d):
     return tx.metric_artifacts(ad.view(spark, d, ad.SENTENCES).select("ord", F.concat("text", F.lit(" accuracy = "), F.col("ord") % 100, F.lit("% and BLEU: 3.5; BLEU: 3.5")).alias("text")), "ord")
 
 
-@query("""WITH l AS (SELECT doc_id, i AS line, x AS raw, regexp_full_match(x, '.+[|].+[|].+') AS row FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
- r AS (SELECT *, line - sum(CAST(row AS INT)) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT doc_id, min(line) AS first_line, count(*) AS row_count, arg_min(len(list_filter(list_transform(string_split(raw, '|'), lambda x: trim(x)), lambda x: x <> '')), line) AS headers FROM r WHERE row GROUP BY doc_id, run HAVING count(*) >= 2""")
+@query("""WITH l AS (SELECT doc_id, i AS line, x AS raw, regexp_full_match(x, '.+[|\\t].+[|\\t].+') AS row FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
+ r AS (SELECT *, line - sum(CAST(row AS INT)) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS run FROM l) SELECT doc_id, min(line) AS first_line, count(*) AS row_count, arg_min(len(list_filter(list_transform(regexp_split_to_array(raw, '[|\\t]'), lambda x: trim(x)), lambda x: x <> '')), line) AS headers FROM r WHERE row GROUP BY doc_id, run HAVING count(*) >= 2""")
 def text_tables(spark, d):
-    return tx.text_tables(ad.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-
-
-@query("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN 'url' ELSE 'unknown' END AS kind, CASE WHEN length(s) > 80 THEN substr(s, 1, 60) || '_' || substr(sha256(url), 1, 16) ELSE s END AS safe FROM (SELECT *, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS s FROM pages)")
-def resolve_id(spark, d):
-    return ad.table(spark, d, "pages").select("page_id", ids.identifier_kind(F.col("url")).alias("kind"), ids.safe_id(F.col("url")).alias("safe"))
-
-
-@query(f"SELECT tool, count(*) AS runs, count(DISTINCT status) AS outcomes, round(avg(CAST(status = first AS INT)), 6) AS rate FROM (SELECT tool, session_id, status, first_value(status) OVER (PARTITION BY tool, session_id ORDER BY seq) AS first FROM {T}) GROUP BY tool")
-def determinism_audit(spark, d):
-    from pyspark.sql import Window
-
-    first = F.first("status").over(Window.partitionBy("tool", "session_id").orderBy("seq"))
-    return ad.view(spark, d, ad.TRACES).withColumn("first", first).groupBy("tool").agg(F.count("*").alias("runs"), F.countDistinct("status").alias("outcomes"), F.round(F.avg((F.col("status") == F.col("first")).cast("int")), 6).alias("rate"))
-
-
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
-def ref_integrity(spark, d):
-    return ad.table(spark, d, "customer").select("c_custkey").join(ad.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
-@query("SELECT label, count(*) AS vectors FROM embeddings SEMI JOIN labels ON vec_id = doc_id WHERE label IS NOT NULL GROUP BY label")
-def provenance_coverage(spark, d):
-    grounded = ad.table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"))
-    return ad.table(spark, d, "embeddings").select("vec_id", "label").join(grounded, "vec_id", "left_semi").groupBy("label").agg(F.count("*").alias("vectors"))
+    return tx.text_tables(ad.table(spark, d, "documents").select("doc_id", "text"), "doc_id").drop("cells")
 
 
 @query("SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<p[ >]')) AS INT) AS paragraphs, CAST(len(regexp_extract_all(html, '(?i)<li[ >]')) AS INT) AS items FROM pages")

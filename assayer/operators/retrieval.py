@@ -2,20 +2,92 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
 from .text import tokens
 
 
-def lexical_topk(corpus: DataFrame, query: str, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Share of the query's words (repeats count) that a text has; texts without any are left out."""
+def lexical_topk(corpus: DataFrame, query: str, k: int, key: str = "doc_id", text: str = "text", sources: list[str] | None = None, source: str = "source") -> DataFrame:
+    """Share of the query's words (repeats count) that a text has; texts without any are left out. Only texts of the
+    ``sources``, if given. The texts' words are made once, as an array of the distinct ones."""
     words = re.findall("[a-z0-9]+", query.lower())
-    have = tokens(F.col(text))
-    score = sum((F.array_contains(have, w).cast("int") for w in words), F.lit(0)) / len(words)
-    return corpus.select(key, F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    asked = F.array(*map(F.lit, words)).cast("array<string>")
+    pool = corpus if not sources else corpus.where(F.col(source).isin(*sources))
+    hits = pool.select(key, F.array_distinct(tokens(F.col(text))).alias("_have")).select(key, F.size(F.filter(asked, lambda w: F.array_contains("_have", w))).alias("_hits"))
+    return hits.where("_hits > 0").select(key, F.round(F.col("_hits") / max(len(words), 1), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def hash_embedding(df: DataFrame, text: str = "text", size: int = 384) -> DataFrame:
+    """embedding: the bytes of the text's digest round and round, scaled to -1..1 and then to length one (six places)."""
+
+    @F.pandas_udf("array<double>")
+    def embed(column: pd.Series) -> pd.Series:
+        raw = np.stack([np.frombuffer(hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest(), np.uint8) for t in column]) if len(column) else np.zeros((0, 32), np.uint8)
+        x = np.round(np.take(raw, np.arange(size) % 32, axis=1) / 127.5 - 1.0, 6)
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return pd.Series(list(np.round(np.divide(x, norm, where=norm > 0, out=x), 6)))
+
+    return df.withColumn("embedding", embed(F.col(text)))
+
+
+def semantic_topk(corpus: DataFrame, query: str, k: int = 5, key: str = "doc_id", text: str = "text", sources: list[str] | None = None, source: str = "source") -> DataFrame:
+    """Nearest texts of the query by the cosine of hash embeddings, of the ``sources`` if given."""
+    digest = np.frombuffer(hashlib.sha256(query.encode()).digest(), np.uint8)[np.arange(384) % 32]
+    x = np.round(digest / 127.5 - 1.0, 6)
+    pool = corpus if not sources else corpus.where(F.col(source).isin(*sources))
+    embedded = hash_embedding(pool.select(F.col(key).alias("vec_id"), text), text)
+    top = vector_topk(embedded, np.round(x / np.sqrt((x * x).sum()), 6).tolist(), k)
+    return top.select(F.col("vec_id").alias(key), "score")
+
+
+def retrieve(corpus: DataFrame, query: str, k: int = 5, embed: bool = True, **how) -> DataFrame:
+    """Semantic matches, or without embeddings lexical ones; ``method`` tells which."""
+    found = semantic_topk(corpus, query, k, **how) if embed else lexical_topk(corpus, query, k, **how)
+    return found.withColumn("method", F.lit("semantic" if embed else "lexical"))
+
+
+def cluster(vectors: DataFrame, least: int = 3, seed: int = 42) -> DataFrame:
+    """vec_id and cluster (null: noise) by k-means, with as many clusters as the square root of half the rows, at most one
+    for every ``least`` rows and two at least; fewer rows than ``least`` are all noise."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    n = vectors.count()
+    if n < least:
+        return vectors.select("vec_id", F.lit(None).cast("int").alias("cluster"))
+    k = max(2, min(int((n / 2) ** 0.5), n // least))
+    features = vectors.select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+    return KMeans(k=k, seed=seed).fit(features).transform(features).select("vec_id", F.col("prediction").alias("cluster"))
+
+
+def cluster_map(vectors: DataFrame, texts: DataFrame | None = None, by: str = "label", near: int = 3, far: int = 2) -> DataFrame:
+    """One row per cluster of ``vectors`` (vec_id, embedding, ``by``): id, number of members, representatives, boundary members,
+    the first ten numbers of the centroid, and a label from the representatives' ``texts`` (vec_id, text)."""
+    known = vectors.where(F.col(by).isNotNull())
+    roles = cluster_profiles(known, by, near, far)
+    pick = lambda role, order: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct(order.alias("d"), "vec_id")))), lambda s: s.vec_id)
+    named = roles.groupBy(by).agg(pick("representative", F.col("distance")).alias("representatives"), pick("boundary", -F.col("distance")).alias("boundary"))
+    centre = known.select(by, F.posexplode(F.slice("embedding", 1, 10)).alias("i", "x")).groupBy(by, "i").agg(F.round(F.avg("x"), 6).alias("m")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s.m).alias("centroid"))
+    out = known.groupBy(by).agg(F.count("*").alias("members")).join(named, by).join(centre, by)
+    if texts is not None:
+        out = out.join(cluster_labels(roles.where("role = 'representative'").join(texts, "vec_id"), by), by, "left")
+    return out.withColumn("cluster_id", F.concat(F.lit("cluster_"), F.col(by).cast("string")))
+
+
+def cluster_labels(texts: DataFrame, by: str, text: str = "text", order: str = "vec_id", words: int = 4, stopwords: tuple[str, ...] = tuple(lx.LABEL_STOPWORDS)) -> DataFrame:
+    """Per cluster the most frequent words of its texts, capitalised: ties go to the word that stands first."""
+    found = texts.select(by, order, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))).alias("at", "term")).where(~F.col("term").isin(*stopwords))
+    counts = found.groupBy(by, "term").agg(F.count("*").alias("n"), F.min(F.struct(order, "at")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "first"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= words)
+    return top.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: F.initcap(s.term)), " ").alias("name"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,14 +1,11 @@
-"""Scans over text as column expressions, chunking, and the claim cascade."""
+"""Scans over text as column expressions, window chunks, contexts and artifacts."""
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
 
@@ -63,61 +60,6 @@ def window_chunks(df: DataFrame, text: str = "text", size: int = 1000, overlap:
     return rows.withColumns({"start_char": start, "end_char": F.least(start + size, n), "chunk": F.col(text).substr(start + 1, F.lit(size))})
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Trimmed sentences: a stop mark ends one unless it stands in a number or ends an abbreviation, and what follows
-    begins like a sentence."""
-    spans, begin, at, n = [], 0, 0, len(text)
-    while at < n:
-        if text[at] in ".!?":
-            number = text[at] == "." and 0 < at < n - 1 and text[at - 1].isdigit() and text[at + 1].isdigit()
-            short = text[max(0, at - 15) : at + 1].lower().strip().endswith(lx.ABBREVIATIONS)
-            follow = at + 1
-            while follow < n and text[follow].isspace():
-                follow += 1
-            if not number and not short and (follow >= n or text[follow].isupper() or text[follow].isdigit() or text[follow] in "\"'(["):
-                spans.append((begin, at + 1))
-                begin = at = follow
-                continue
-        at += 1
-    if begin < n:
-        spans.append((begin, n))
-    trimmed = [(a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for a, b in spans]
-    return [(a, b) for a, b in trimmed if a < b]
-
-
-def sentences(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per sentence with its place in the text; Arrow batches, as the rules need Unicode classes."""
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [{"start": a, "end": b} for a, b in sentence_spans(t or "")])
-
-    rows = df.select("*", F.posexplode(spans(F.col(text))).alias("sentence_index", "_s"))
-    return rows.withColumns({"start_char": F.col("_s.start"), "end_char": F.col("_s.end"), "sentence": F.col(text).substr(F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start"))}).drop("_s")
-
-
-def _space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
-
-
-def _uncite(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)", ""), r"\[[^\]]*\]", "")
-
-
-def clean_subject(c: Column) -> Column:
-    out = F.regexp_replace(_uncite(c), r"[ ,;:]+$", "")
-    out = F.regexp_replace(out, r"(?i)^(?:Table|Figure|Fig\.?)\s*\d+\s*[:.]\s*", "")
-    return _space(F.regexp_replace(out, r"(?i)^(?:On|For|In|With|Using)\s+(?:the\s+)?", ""))
-
-
-def clean_object(c: Column) -> Column:
-    return F.substring(_space(F.regexp_replace(_uncite(c), r"[ .;:]+$", "")), 1, 500)
-
-
-def _verb(text: Column, verbs: tuple[str, ...]) -> Column:
-    low = F.lower(text)
-    return F.coalesce(*(F.when(low.rlike(rf"\b{v}\b"), F.lit(v)) for v in verbs))
-
-
 def hedged(text: Column) -> Column:
     any_hedge = reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(h)) for h in lx.HEDGES))
     return any_hedge & ~(text.rlike(r"\d") & text.rlike(rf"(?i)\b({lx.CLAIM_METRICS})\b"))
@@ -135,41 +77,6 @@ def without_years(numbers_: Column) -> Column:
     return F.filter(numbers_, lambda n: ~n.rlike(r"^(19|20)\d\d[%mskbg ]*$"))
 
 
-def extract_claims(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per text with its claim or the reason for none. Structural, then efficiency, then performance claims;
-    compound sentences are refused. All in one projection."""
-    t = F.col(text)
-    base = df.withColumns({"_ctx": context_id(t), "_num": numbers(t), "_met": metric_names(t), "_hedged": hedged(t), "_perf": _verb(t, lx.PERFORMANCE_VERBS), "_eff": F.coalesce(_verb(t, lx.EFFICIENCY_VERBS), _verb(t, lx.PERFORMANCE_VERBS)), "_str": _verb(t, tuple(sorted(lx.STRUCTURAL_VERBS, key=len, reverse=True)))})
-    place = lambda verb: F.instr(F.lower(t), verb)
-    subject = lambda verb: clean_subject(t.substr(F.lit(1), place(verb) - 1))
-    object_ = lambda verb: clean_object(t.substr(place(verb) + F.length(verb), F.length(t)))
-    has_metric = (F.size("_met") > 0) | t.rlike(rf"(?i)\b({lx.CLAIM_METRICS})\b")
-    at = rf"(?is)^(.*?\S.*?)(\b(?:{lx.CLAIM_METRICS})\s+(?:score\s+)?of\s+\d.*)$"
-    value = rf"(?is)^(.*?\S.*?)(\d+(?:\.\d+)?\s*(?:%\s+)?(?:{lx.CLAIM_METRICS})\b.*)$"
-    hint = F.when(t.rlike(at), F.struct(F.regexp_extract(t, at, 1).alias("s"), F.regexp_extract(t, at, 2).alias("o"))).when(t.rlike(value), F.struct(F.regexp_extract(t, value, 1).alias("s"), F.regexp_extract(t, value, 2).alias("o")))
-    base = base.withColumns({"_hint": hint, "_metric": has_metric, "_noun": F.lower(t).rlike(rf"\b({'|'.join(lx.STRUCTURAL_NOUNS)})\b"), "_unit": t.rlike(rf"(?i)\b({lx.EFFICIENCY_UNITS})\b")})
-    base = base.withColumns({"_ss": subject(F.col("_str")), "_so": object_(F.col("_str")), "_es": subject(F.col("_eff")), "_eo": object_(F.col("_eff")), "_ps": F.when(F.col("_perf").isNotNull(), subject(F.col("_perf"))).otherwise(clean_subject(F.col("_hint.s"))), "_po": F.when(F.col("_perf").isNotNull(), object_(F.col("_perf"))).otherwise(clean_object(F.col("_hint.o")))})
-    structural = F.col("_noun") & F.col("_str").isNotNull() & ~F.col("_hedged") & (F.length("_ss") >= 2) & (F.length("_so") > 0)
-    efficient = F.col("_unit") & (F.size("_num") > 0) & ~F.col("_hedged") & F.col("_eff").isNotNull() & (F.length("_es") > 0) & (F.length("_eo") > 0) & F.col("_eo").rlike(rf"(?i)\b({lx.EFFICIENCY_UNITS})\b")
-    known = F.col("_ctx") != "ctx_unknown"
-    verb = F.coalesce("_perf", F.when(F.col("_hint").isNotNull(), F.lit("scores")))
-    compound = (F.size(F.array_distinct(F.transform("_met", F.lower))) > 1) | (F.contains(F.lower(t), F.lit(" and ")) & (F.size(without_years(F.col("_num"))) > 1))
-    reason = (
-        F.when(table_fragment(t), "table_fragment_rejected").when(F.coalesce(structural, F.lit(False)) | F.coalesce(efficient, F.lit(False)), F.lit(None))
-        .when(~known & ~(F.col("_metric") & (F.size("_num") > 0) & verb.isNotNull()), "context_missing").when(F.col("_hedged"), "hedged_statement").when(verb.isNull(), "no_predicate")
-        .when(F.size("_num") == 0, "no_number").when(~F.col("_metric"), "no_metric").when(compound, "compound_metric").when(F.length("_ps") == 0, "subject_missing").when(F.length("_po") == 0, "object_missing")
-    )
-    kind = F.when(F.coalesce(structural, F.lit(False)), "structural").when(F.coalesce(efficient, F.lit(False)), "efficiency").otherwise("performance")
-    base = base.withColumns({"reason": reason, "_kind": kind})
-    pick = lambda s, e, p: F.when(F.col("_kind") == "structural", s).when(F.col("_kind") == "efficiency", e).otherwise(p)
-    base = base.withColumns({"claim_type": F.when(F.col("reason").isNull(), F.col("_kind")), "context_id": F.when(F.col("reason").isNull(), F.when(known, F.col("_ctx")).otherwise(pick(F.lit("ctx_structural"), F.lit("ctx_efficiency"), F.lit("ctx_inferred"))))})
-    claim = F.col("reason").isNull()
-    base = base.withColumns({"subject": F.when(claim, pick(F.col("_ss"), F.col("_es"), F.col("_ps"))), "predicate": F.when(claim, pick(F.col("_str"), F.col("_eff"), verb)), "object": F.when(claim, pick(F.col("_so"), F.col("_eo"), F.col("_po"))), "claim_subtype": F.when(claim, F.when((F.col("_kind") != "structural") & is_delta(t), "delta").otherwise("absolute"))})
-    hashed = F.when((F.col("_kind") == "performance") & ~known, F.col("_ctx")).otherwise(F.col("context_id"))
-    base = base.withColumn("claim_id", F.when(claim, F.concat(F.lit("claim_"), F.sha2(F.concat_ws("|", hashed, "subject", "predicate", "object"), 256))))
-    return base.drop(*(c for c in base.columns if c.startswith("_")))
-
-
 def weak_verdict(text: Column) -> Column:
     low = F.lower(text)
     some = lambda patterns: reduce(lambda a, b: a | b, (low.rlike(p) for p in patterns))
@@ -193,49 +100,6 @@ def converted(value: Column, unit: Column) -> tuple[Column, Column]:
     return v, F.when(u == "%", "ratio").when(u.isin("ms", "s", "sec", "seconds"), "s").when(u.isin("gb", "mb", "kb"), "gb")
 
 
-_METRIC = re.compile(rf"\b({lx.NORMAL_METRICS})\b", re.IGNORECASE)
-_VALUE = re.compile(r"(\d+(?:\.\d+)?)(?:\s*(%|ms|s|sec|seconds|gb|mb|kb))?", re.IGNORECASE)
-_REFERENCE = re.compile(r"(?:table|figure|fig\.?|section|§|chapter)\s*$", re.IGNORECASE)
-
-
-def bind(text: str | None, reach: int = 150) -> tuple[str | None, str | None, str | None, str | None]:
-    """Metric, number, unit and reason of one object text: the valid number nearest to the first metric, the first on
-    ties. Years, numbers inside words and numbers behind Table, Figure and the like are no values."""
-    if text is None:
-        return None, None, None, "no_claim"
-    token = _METRIC.search(text)
-    name = lx.METRIC_ALIASES.get(re.sub("[^a-z0-9]+", "", token.group().lower())) if token else None
-    if name is None:
-        return None, None, None, "missing_metric"
-    found = [m for m in _VALUE.finditer(text) if m.end() <= token.start() or m.start() >= token.end()]
-    if not found:
-        return name, None, None, "missing_value"
-
-    def valid(m: re.Match) -> bool:
-        year = "." not in m[1] and len(m[1]) == 4 and 1900 <= int(m[1]) <= 2099 and not m[2]
-        inside = m.start() > 0 and text[m.start() - 1].isalpha()
-        return not year and not inside and not _REFERENCE.search(text[max(0, m.start() - 15) : m.start()]) and abs(m.start() - token.start()) <= reach
-
-    good = [m for m in found if valid(m)]
-    if not good:
-        return name, None, None, "ambiguous_numeric_binding"
-    best = min(good, key=lambda m: abs(m.start() - token.start()))
-    return name, best[1], best[2], None
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("metric", "number", "unit", "reason")]))
-def _bind(column: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([bind(t) for t in column], columns=["metric", "number", "unit", "reason"])
-
-
-def normalize_claims(claims: DataFrame, text: str = "object") -> DataFrame:
-    """metric, value, unit and value_raw of each claim, or ``reason_none``; binding runs in Arrow batches."""
-    out = claims.withColumn("_b", _bind(F.col(text)))
-    v, u = converted(F.col("_b.number").try_cast("double"), F.col("_b.unit"))
-    raw = F.concat("_b.number", F.coalesce(F.lower("_b.unit"), F.lit("")))
-    return out.withColumns({"metric": F.col("_b.metric"), "value": v, "unit": u, "value_raw": raw, "reason_none": F.col("_b.reason")}).drop("_b")
-
-
 def propagate_contexts(chunks: DataFrame) -> DataFrame:
     """Chunks without a data set but with a metric or number take the nearest context above on their page, else below."""
     direct = F.when(F.col("dataset").isNotNull(), F.concat(F.lit("ctx_"), F.replace(F.lower("dataset"), F.lit(" "), F.lit("_"))))
@@ -255,12 +119,30 @@ def paragraphs(chunks: DataFrame, gap: int = 200) -> DataFrame:
     return chunks.withColumn("_b", begins.cast("int")).withColumn("paragraph", F.sum("_b").over(order)).drop("_b")
 
 
+def compares(text: Column) -> Column:
+    """Whether a text speaks of a baseline or a comparison."""
+    return F.coalesce(text.rlike(f"(?i){lx.COMPARISONS}"), F.lit(False))
+
+
 def paragraph_contexts(chunks: DataFrame) -> DataFrame:
-    """Data sets and metrics of each paragraph; the inferred data set is the first in order."""
-    out = paragraphs(chunks).groupBy("source_id", "paragraph").agg(F.count("*").alias("chunks"), F.array_join(F.array_sort(F.collect_set("dataset")), ",").alias("datasets"), F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("metrics"), F.min("dataset").alias("inferred"))
+    """Data sets and metrics of each paragraph and whether it compares; the inferred data set is the first in order.
+    Without a column ``compares`` no paragraph does."""
+    flag = F.bool_or("compares") if "compares" in chunks.columns else F.lit(False)
+    out = paragraphs(chunks).groupBy("source_id", "paragraph").agg(F.count("*").alias("chunks"), F.array_join(F.array_sort(F.collect_set("dataset")), ",").alias("datasets"), F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("metrics"), F.min("dataset").alias("inferred"), F.min("metric").alias("inferred_metric"), flag.alias("compares"))
     return out.withColumn("context_source", F.when(F.col("datasets") != "", "explicit").when(F.col("metrics") != "", "inferred").otherwise("none"))
 
 
+def stitched(chunks: DataFrame) -> DataFrame:
+    """Every chunk with its paragraph, the paragraph's context, and where its own context comes from: from itself
+    (explicit), from its paragraph (inferred), or none. Two windows over one shuffle; nothing is joined back."""
+    numbered = paragraphs(chunks)
+    whole = Window.partitionBy("source_id", "paragraph")
+    flag = F.bool_or("compares").over(whole) if "compares" in chunks.columns else F.lit(False)
+    out = numbered.withColumns({"inferred": F.min("dataset").over(whole), "inferred_metric": F.min("metric").over(whole), "paragraph_compares": flag})
+    own = F.col("dataset").isNotNull() | F.col("metric").isNotNull()
+    return out.withColumn("context_source", F.when(own, "explicit").when(F.col("inferred").isNotNull() | F.col("inferred_metric").isNotNull(), "inferred").otherwise("none"))
+
+
 def metric_artifacts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Distinct (name, value) of each text, like 'accuracy = 95.3%'."""
     p = rf"(?i)\b({lx.ARTIFACT_METRICS})\b\s*(?:=|:|of|is)\s*(\d+\.?\d*%?)"
@@ -270,17 +152,66 @@ def metric_artifacts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def captions(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Captions in order: position in the text's list, kind (table or figure), number and text."""
     p = r"(?i)(Table|Figure|Fig\.?)\s*(\d+)[.:]\s*([^\n]*)"
-    each = df.select(key, F.explode(F.arrays_zip(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias(n) for g, n in ((1, "kind"), (2, "number"), (3, "caption"))))).alias("c"))
-    return each.select(key, F.lower(F.substring("c.kind", 1, 3)).alias("kind"), F.col("c.number").cast("int").alias("number"), F.col("c.caption").alias("caption"))
+    each = df.select(key, F.posexplode(F.arrays_zip(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias(n) for g, n in ((1, "kind"), (2, "number"), (3, "caption"))))).alias("position", "c"))
+    kind = F.when(F.lower("c.kind") == "table", "table").otherwise("figure")
+    return each.select(key, "position", kind.alias("kind"), F.col("c.number").cast("int").alias("number"), F.trim("c.caption").alias("caption"))
+
+
+def with_result_ids(artifacts: DataFrame, kind: str, order: list[str], page: int | None = None, links: list[str] | None = None) -> DataFrame:
+    """Artifacts (paper_id, page) with a running number per paper and the id that follows from it; only those of one page,
+    if asked for; ``links`` adds the first three of the given claim ids."""
+    own = artifacts if page is None else artifacts.where(F.col("page") == page)
+    index = F.row_number().over(Window.partitionBy("paper_id").orderBy(*order)) - 1
+    out = own.withColumn("index", index)
+    out = out.withColumn("result_id", F.concat(F.lit("extract_"), F.substring(F.sha2(F.concat_ws(":", "paper_id", F.col("page").cast("string"), F.lit(kind), F.col("index").cast("string")), 256), 1, 12)))
+    return out if links is None else out.withColumn("linked_claims", F.array(*map(F.lit, links[:3])).cast("array<string>"))
+
+
+def ingested(df: DataFrame, source: str = "source_id", text: str = "text", size: int = 1000, overlap: int = 100) -> DataFrame:
+    """Window chunks of texts with their ids, digests, contexts and scans."""
+    chunks = window_chunks(df.select(F.col(source).alias("source_id"), F.col(text).alias("_whole")), "_whole", size, overlap).drop("_whole")
+    c = F.col("chunk")
+    return chunks.select("source_id", F.concat(F.col("source_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.col("chunk_index").alias("ord"), c.alias("text"), "start_char", "end_char", F.sha2(c, 256).alias("text_hash"), context_id(c).alias("context_id"), numbers(c).alias("numeric_strings"), units(c).alias("unit_strings"), metric_names(c).alias("metric_names"))
+
+
+def telemetry(df: DataFrame, source: str = "source_id", text: str = "text", size: int = 1000, overlap: int = 100) -> DataFrame:
+    """Per source: what the whole text holds, the contexts of its chunks in the order they come, and a warning for texts
+    shorter than a chunk."""
+    chunks = ingested(df, source, text, size, overlap).groupBy("source_id").agg(F.count("*").alias("chunks"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "context_id"))), lambda s: s.context_id)).alias("context_ids"))
+    t = F.col(text)
+    whole = df.select(F.col(source).alias("source_id"), numbers(t).alias("numeric_strings"), units(t).alias("unit_strings"), metric_names(t).alias("metric_names"), F.when(F.length(t) < size, F.array(F.lit("shorter than a chunk"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    return whole.join(chunks, "source_id")
+
+
+def words(text: Column) -> Column:
+    """Number of words between blanks of any script."""
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+
+
+def spaced(text: Column) -> Column:
+    """Runs of blanks become one; none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def metric_key(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
+
+
+def plain(text: Column) -> Column:
+    """Lower case, hyphens and underscores as blanks, no other marks, single blanks."""
+    return spaced(F.regexp_replace(F.regexp_replace(F.lower(text), "[-_]", " "), r"[^\w\s]", ""))
 
 
 def text_tables(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Runs of two or more lines with at least two pipes each: header cells and number of rows (the header included)."""
+    """Runs of two or more lines with at least two pipes or tabs each: cells, number of header cells and of rows (the header included)."""
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    row = F.col("raw").rlike(r"^.+[|].+[|].+$")
+    row = F.col("raw").rlike(r"^.+[|\t].+[|\t].+$")
     order = Window.partitionBy(key).orderBy("line")
     runs = lines.withColumn("is_row", row).withColumn("run", F.col("line") - F.sum(F.col("is_row").cast("int")).over(order)).where("is_row")
-    cells = F.filter(F.transform(F.split("raw", r"\|"), F.trim), lambda c: c != "")
-    out = runs.groupBy(key, "run").agg(F.count("*").alias("row_count"), F.min_by(F.size(cells), "line").alias("headers"), F.min("line").alias("first_line"))
-    return out.where("row_count >= 2").select(key, "first_line", "row_count", "headers")
+    cells = F.filter(F.transform(F.split("raw", r"[|\t]"), lambda c: F.trim(c)), lambda c: c != "")
+    rows = runs.select(key, "run", F.struct("line", cells.alias("cells")).alias("row")).groupBy(key, "run").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    rows = rows.where(F.size("rows") >= 2).withColumn("rows", F.col("rows"))
+    cell_rows = F.transform("rows", lambda r: r.cells)
+    return rows.select(key, F.col("rows")[0].line.alias("first_line"), F.size("rows").alias("row_count"), F.size(cell_rows[0]).alias("headers"), cell_rows.alias("cells"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Normalised claims out of events.
@@ -26,12 +28,51 @@ PAGED = """SELECT o_custkey AS source_id, l_orderkey AS page, cast(l_linenumber
 TRACES = "SELECT event_id AS seq, user_id % 50 AS session_id, event_type AS tool, value AS duration, CASE WHEN event_id % 13 = 0 THEN 'error' ELSE 'success' END AS status, event_id % 4 = 0 AS cache_hit, event_id % 100 AS tokens FROM events"
 
 
+#: Experimental contexts out of customers.
+CONTEXTS = """SELECT concat('ctx_c', cast(c_custkey AS varchar(20))) AS context_id, CASE c_nationkey % 3 WHEN 0 THEN 'classification' WHEN 1 THEN 'translation' ELSE 'other' END AS task,
+ CASE WHEN c_custkey % 2 = 0 THEN concat('Set', cast(c_nationkey % 7 AS varchar(5))) ELSE concat('SET', cast(c_nationkey % 7 AS varchar(5))) END AS dataset, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'V1' ELSE 'v2' END AS dataset_version,
+ CASE WHEN c_custkey % 5 = 0 THEN 'F1' ELSE ' accuracy' END AS metric_name, CASE WHEN c_custkey % 3 = 0 THEN '%' END AS metric_unit, true AS higher, CASE WHEN c_custkey % 7 = 0 THEN 'macro' END AS aggregation FROM customer"""
+
+#: Evaluation rows out of line items.
+EVALUATED = """SELECT l_linenumber AS expected_claims, l_linenumber % 3 AS extracted_claims, l_partkey % 5 AS collapsed_claim_pairs, l_partkey % 3 AS truly_equivalent_collapses, l_suppkey % 4 AS known_contradictions, l_suppkey % 2 AS contradictions_found,
+ 0 AS hypotheses_generated, 1 AS hypotheses_grounded, 2 AS proposals_generated, 1 AS proposals_complete FROM lineitem"""
+
+#: Identifiers of every kind out of orders.
+IDENTIFIERS = """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN concat(' arXiv:1706.', lpad(cast(o_orderkey % 100000 AS varchar(10)), 5, '0')) WHEN 1 THEN concat('https://arxiv.org/abs/2302.', lpad(cast(o_orderkey % 100000 AS varchar(10)), 5, '0'), 'v2')
+ WHEN 2 THEN concat('pmc', cast(1000000 + o_orderkey AS varchar(10))) WHEN 3 THEN concat('https://aclanthology.org/2023.acl-long.', cast(o_orderkey AS varchar(10)), '/') WHEN 4 THEN concat('see 10.1234/abc', cast(o_orderkey AS varchar(10)), ').') WHEN 5 THEN concat('https://doi.org/10.1000/x', cast(o_orderkey AS varchar(10)))
+ WHEN 6 THEN concat('https://www.biorxiv.org/content/10.1101/', cast(o_orderkey AS varchar(10))) WHEN 7 THEN concat('https://proceedings.mlr.press/v9/p', cast(o_orderkey AS varchar(10)), '.html') WHEN 8 THEN concat('https://openreview.net/forum?id=q', cast(o_orderkey AS varchar(10)))
+ ELSE concat('plain words ', cast(o_orderkey AS varchar(10))) END AS identifier FROM orders"""
+
+#: Hypotheses out of customers; lists are given by their lengths.
+HYPOTHESES = """SELECT concat('hyp_', cast(c_custkey AS varchar(20))) AS hypothesis_id, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE concat('Statement of ', c_name) END AS statement, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'a novel idea' END AS novelty_basis,
+ CASE c_custkey % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'low' END AS qualitative_confidence, CASE WHEN c_custkey % 4 = 0 THEN cast(0.25 AS double) END AS confidence_score, c_custkey % 3 AS n_assumptions, c_custkey % 2 AS n_independent_variables, c_custkey % 4 AS n_dependent_variables,
+ c_custkey % 5 AS n_supporting_citations, c_custkey % 4 AS n_grounding_claim_ids, c_custkey % 6 AS n_revision_history, c_custkey % 2 AS n_known_risks FROM customer"""
+
+#: Trace entries with digests, some missing.
+HASHED = """SELECT user_id % 50 AS session_id, event_id AS sequence, event_type AS tool, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 15 = 0 THEN '' ELSE md5(event_type) END AS input_hash, CASE WHEN event_id % 12 = 0 THEN '' ELSE md5(cast(event_id AS varchar(20))) END AS output_hash,
+ CASE WHEN event_id % 13 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN event_id % 26 = 0 THEN 'timeout' END AS error_message FROM events"""
+
+#: Assertions out of events.
+ASSERTIONS = """SELECT concat('a', cast(event_id AS varchar(20))) AS assertion_id, CASE WHEN event_id % 3 > 0 THEN concat('p', cast(user_id AS varchar(20))) END AS paper_id, CASE WHEN event_id % 4 > 0 THEN 'c' ELSE '' END AS chunk_id, CASE WHEN event_id % 2 = 0 THEN ' LOW' ELSE 'medium' END AS confidence, event_id % 5 = 0 AS ungrounded FROM events"""
+
+#: Chunk records out of documents, some broken.
+CHUNK_RECORDS = """SELECT concat(CASE WHEN doc_id % 9 = 0 THEN 'ck_' ELSE 'chunk_' END, cast(doc_id AS varchar(20))) AS chunk_id, CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE 'paper_1' END AS paper_id, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'short ' ELSE text END AS text, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'e1' END AS embedding_id FROM documents"""
+
+#: Claim records with two pieces of evidence out of line items.
+CLAIM_RECORDS = """SELECT concat('claim_', cast(l_orderkey * 10 + l_linenumber AS varchar(20)), '_', cast(l_partkey AS varchar(20)), '_', cast(l_suppkey AS varchar(20))) AS claim_id, concat('System ', cast(l_suppkey AS varchar(10))) AS subject, CASE WHEN l_linenumber = 3 THEN 'is' ELSE 'Achieves' END AS predicate,
+ CASE l_linenumber WHEN 1 THEN '92% accuracy' WHEN 2 THEN '92% accuracy and 3 s' WHEN 4 THEN 'ok' WHEN 5 THEN '  ' ELSE 'a value' END AS object, CASE l_returnflag WHEN 'A' THEN 'high' WHEN 'N' THEN 'medium' ELSE 'low' END AS confidence_level,
+ 'src_0' AS source_0, CASE WHEN l_suppkey % 2 = 0 THEN 'src_0' ELSE 'src_1' END AS source_1, 'a long enough snippet' AS snippet_0, CASE WHEN l_partkey % 3 = 0 THEN ' short ' ELSE 'another long snippet' END AS snippet_1, cast(l_partkey % 8 AS double) / 8 AS score_0, cast(l_suppkey % 4 AS double) / 4 AS score_1 FROM lineitem"""
+
+#: Loops with three scripted confidences.
+LOOPS = "SELECT concat('loop_', cast(event_id AS varchar(20))) AS loop_id, cast(event_id % 9 AS double) / 10 AS a, cast(event_id % 9 AS double) / 10 + cast(event_id % 4 AS double) / 400 AS b, cast(event_id % 9 AS double) / 10 + cast(event_id % 5 AS double) / 400 AS c FROM events"
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The adapter's rows; only the columns that a query asks for are read."""
-    for table in ("events", "lineitem", "orders", "documents", "embeddings", "benchmark", "pages", "conversations"):
+    for table in ("events", "lineitem", "orders", "documents", "embeddings", "benchmark", "pages", "conversations", "customer", "part", "nation"):
         if table in sql:
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(sql.replace("varchar(10)", "string"))
+    return spark.sql(re.sub(r"varchar\(\d+\)", "string", sql))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
