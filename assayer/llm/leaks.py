@@ -28,6 +28,9 @@ PIECE_BYTES = 1_000_000
 ITEMS = 20_000
 
 
+RESULTS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "n_near")
+
+
 class Phrases:
     """Distinct windows of a block of items over term numbers."""
 
@@ -110,14 +113,14 @@ def index_tokens(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> tu
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, slack: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (ids, sorted as strings);
-    ``carry`` columns stay; with ``slack`` also n_near, the proximity matches of windows.
+    ``carry`` columns stay, but for those with a result's name; with ``slack`` also n_near, the proximity matches of windows.
 
     Null texts have no words; items without words never occur; equal item ids count once. An item
     without id counts in n_hit, n_near and contaminated, not in n_items, the digest and items. Repeated rows, null ids and
     extra columns are kept apart; empty tables give an empty or clean result. The benchmark is read in blocks of ITEMS
     rows that go to the tasks with the code; documents stay where they are.
     """
-    carry = tuple(c for c in carry if c != doc_id)
+    carry = tuple(c for c in dict.fromkeys(carry) if c not in (doc_id, *RESULTS))
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text_"), *carry)
     listed = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(item_text, F.lit("")).alias("t"))
     rows = [(r.i, r.t) for r in listed.orderBy("i", "t").toLocalIterator()]

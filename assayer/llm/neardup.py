@@ -1,4 +1,4 @@
-"""Near duplicates by DartMinHash over five-word shingles, banded joins, exact verification and connected components.
+"""Near duplicates by DartMinHash over counted five-word shingles, banded joins, exact verification and connected components.
 
 Every element of a weighted set owns a region: its weight along one axis, an endless rank axis along the other. Hashed
 darts fall on each unit cell of weight as a Poisson process in rank (so the same darts for every text that holds the
@@ -60,6 +60,24 @@ def distinct(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], h[new]
 
 
+def counted(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, hash and count of the distinct shingles of each text."""
+    o, e = distinct(owner, h)
+    both = np.lexsort((h, owner))
+    new = np.ones(len(h), bool)
+    new[1:] = (owner[both][1:] != owner[both][:-1]) | (h[both][1:] != h[both][:-1])
+    return o, e, np.diff(np.append(np.flatnonzero(new), len(h)))
+
+
+def numbered(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and element of every shingle, the k-th repeat of one as an element of its own: sets of these have the weighted
+    similarity (sum of the smaller counts by sum of the larger ones) of the shingles."""
+    o, e, n = counted(owner, h)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    e = np.repeat(e, n)
+    return np.repeat(o, n), np.where(k > 0, bk.mix(e + bk.mix(k.astype(np.uint64))), e)
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
@@ -134,8 +152,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, ban
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off, firsts, h in _read_pieces(batches, 1):
             n = part.num_rows
-            owner, element = distinct(*shingles(firsts, h, size))
-            sig = dart_minhash(owner, element, np.ones(len(owner)), n, bands * rows).astype(np.uint64).reshape(n, bands, rows)
+            owner, element, weight = counted(*shingles(firsts, h, size))
+            sig = dart_minhash(owner, element, weight.astype(float), n, bands * rows).astype(np.uint64).reshape(n, bands, rows)
             salts = bk.mix(np.arange(1, rows + 1, dtype=np.uint64))
             band = bk.mix(bk.mix(sig + salts).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
             solid = np.diff(firsts) > 0
@@ -146,11 +164,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, ban
 
 
 def shingle_sets(docs: DataFrame, text: str, size: int = SHINGLE) -> DataFrame:
-    """node and set (distinct shingle hashes) of every row of ``docs``."""
+    """node and set (shingles as numbered() has them) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off, firsts, h in _read_pieces(batches, 0):
-            owner, element = distinct(*shingles(firsts, h, size))
+            owner, element = numbered(*shingles(firsts, h, size))
             edges = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([_binary16(_node_keys(data, off, firsts, h)), pa.ListArray.from_arrays(edges, pa.array(element.view(np.int64)))], names=["node", "set"])
 
@@ -231,7 +249,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shingle. Texts without words match only texts of the same bytes; null and empty texts match none. Rows that repeat
     are copies of one another. A row with null id has the class of its text; a class (or a single row) of null ids only has a null
     class_id. Candidates agree in one of ``bands`` bands (a pair of similarity 0.8 is missed with probability 7e-5);
-    every link is verified by the exact similarity of the shingle sets.
+    every link is verified by the exact similarity. Shingles weigh as often as they occur: the similarity of two texts is
+    the sum of the smaller counts by the sum of the larger ones.
     """
     sig = materialize(signatures(docs, doc_id, text, size, bands, rows), "near-signatures")
     members = sig.where("size(bands) > 0").select("node", F.posexplode("bands").alias("band", "h")).groupBy("band", "h", "node").agg(F.lit(1).alias("one"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .store import materialize, read
 
 SHARD_ROWS = 8192
-QUERY_ROWS = 1024
+QUERY_ROWS = 4096
 
 
 class Forest:
@@ -62,7 +62,7 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(good, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec_id", vector: str = "embedding", trees: int = 48, bits: int = 14, share: float = 0.4, least: int = 200, seed: int = 11) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec_id", vector: str = "embedding", trees: int = 256, bits: int = 32, share: float = 0.25, least: int = 1000, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's ``k`` nearest found by Euclidean distance in double precision,
     ties to the smaller id; never the row with the query's own id.
 

@@ -87,14 +87,15 @@ def _text_features(batches: Iterator[pa.RecordBatch], text: int):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_text_ and y of at most ``rows`` labelled documents, chosen by a hash of the id so that any size gives a fair
-    sample. ``rows`` bounds what is broadcast and what later goes to the driver."""
+    sample. ``rows`` bounds what is broadcast and what later goes to the driver: of rows that repeat a labelled id the
+    smallest text counts, of labels that contradict each other the largest."""
     chosen = labels.where(learn & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id_")).agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("_id_"), "_id_").limit(rows)
-    return docs.select(F.col(doc_id).alias("_id_"), F.col(text).alias("_text_")).join(F.broadcast(chosen), "_id_").select("_id_", "_text_", "y")
+    return docs.select(F.col(doc_id).alias("_id_"), F.col(text).alias("_text_")).join(F.broadcast(chosen), "_id_").groupBy("_id_", "y").agg(F.min("_text_").alias("_text_"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Learned from texts alone. Without usable labels the model scores one half."""
+    """Learned from texts alone, of any length. Without usable labels, or from empty tables, the model scores one half."""
     sample = labelled_sample(docs, labels, learn, label, rows).select("_text_", F.col("y").cast("double"), F.xxhash64("_id_").alias("o"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,19 +107,28 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     return fit_additive(x, got["y"].to_numpy(float))
 
 
+def keep_text(docs: DataFrame, text: str) -> tuple[DataFrame, list[str], int]:
+    """``docs`` without columns that bear a result's name, the names that stay, and the place of the text, which stands
+    behind them if it had such a name itself."""
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    if text in names:
+        return docs.select(*names), names, names.index(text)
+    return docs.select(*names, F.col(text).alias("_text_")), names, len(names)
+
+
 def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", at: float = 0.3) -> DataFrame:
     """All columns of ``docs`` with score and predicted; columns of these names are replaced.
 
-    Null texts are scored as empty ones; repeated rows get equal scores; no shuffle."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*names)
+    Null texts are scored as empty ones, long ones as a whole; repeated rows get equal scores; an empty table gives an empty
+    result; no shuffle."""
+    docs, names, at_text = keep_text(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, x in _text_features(batches, names.index(text)):
+        for part, x in _text_features(batches, at_text):
             score = model.score(x)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= at).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(score), pa.array((score >= at).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(names)])
     return docs.mapInArrow(run, f"{fields}, score double, predicted int")
 
 

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it names none (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. A local one only where all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all of it shares")
     return named or os.path.join(tempfile.gettempdir(), "assayer-checkpoints")
 
 

@@ -113,11 +113,12 @@ def merger(path: str) -> RankMerger:
 
 
 def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 1024) -> DataFrame:
-    """``keep`` columns, n_bytes, n_tokens and over_limit for every row.
+    """``keep`` columns (but for those with a result's name), n_bytes, n_tokens and over_limit for every row.
 
     Null and empty texts have no bytes and no tokens. Rows are independent: repeats, null ids and extra columns
     change nothing; an empty table gives an empty result. No shuffle. ``vocabulary`` is a path that every executor has.
     """
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in ("n_bytes", "n_tokens", "over_limit"))
     kept = df.select(*keep, F.col(text).alias("_text_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from . import bytekit as bk
 from .additive import AdditiveModel, fit_additive
-from .quality import labelled_sample
-from .store import read
+from .quality import keep_text, labelled_sample
+from .store import materialize, read
 
 SAMPLE_ROWS = 12_000
 STEMS = (4, 5, 6)
@@ -216,8 +216,9 @@ class ToxicityModel:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Without usable labels every text scores one half."""
-    sample = labelled_sample(docs, labels, learn, label, rows)
+    """Without usable labels, or from empty tables, every text scores one half. The labelled sample is written once and read
+    for the lexicon, for its outcomes and for the features. Words of more than 40 letters are in no lexicon."""
+    sample = materialize(labelled_sample(docs, labels, learn, label, rows), "toxicity-sample")
     automaton = Automaton(learn_lexicon(sample))
     size = 1 + 2 * len(automaton.entries)
 
@@ -257,18 +258,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", at: float = 0.3) -> DataFrame:
     """All columns of ``docs`` with score and predicted; columns of these names are replaced.
 
-    Null texts are scored as empty ones; repeated rows get equal scores; no shuffle."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*names)
+    Null texts are scored as empty ones, long ones as a whole; repeated rows get equal scores; an empty table gives an empty
+    result; no shuffle."""
+    docs, names, at_text = keep_text(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = bk.binary(batch.column(names.index(text)))
+            data, offsets = bk.binary(batch.column(at_text))
             for lo, hi in bk.pieces(offsets, PIECE_BYTES):
                 score = model.score(data, offsets[lo : hi + 1])
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(score), pa.array((score >= at).astype(np.int32))], names=[*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(names)], pa.array(score), pa.array((score >= at).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(names)])
     return docs.mapInArrow(run, f"{fields}, score double, predicted int")
 
 

@@ -31,6 +31,118 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
 
+def test_clashing_text_columns(spark):
+    rows = [(i, prose(40, i) if i % 3 else "x | y %% idiot " * 20) for i in range(120)]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, score string, predicted string, n_tokens int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    model, other = quality.quality_model(plain, labels), toxicity.fit_toxicity(plain, labels, quality.F.lit(True))
+    for score, m in ((quality.score_quality, model), (toxicity.score_toxicity, other)):
+        assert Counter((r.doc_id, r.score) for r in score(d, m, "score").collect()) == Counter((r.doc_id, r.score) for r in score(plain, m).collect())
+    P = pytest.importorskip("public_tokenizers")
+    got = tokens.count_tokens(d, P.path("byte_bpe_50k.json"), "score", keep=("doc_id", "n_tokens", "doc_id"))
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and got.count() == 120
+
+
+def test_sample_is_bounded(spark):
+    d = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (3, "c")] + [(1, "b")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (4, 1), (3, None)], "doc_id long, quality int")
+    got = quality.labelled_sample(d, labels, quality.F.lit(True), "quality", 10).collect()
+    assert sorted((r._id_, r.y, r._text_) for r in got) == [(1, 1, "a"), (2, 1, None)]
+
+
+def additive_by_hand(model, x):
+    """The model's score of one row, looked up bin by bin."""
+    at = lambda edges, v: sum(v >= e for e in edges)
+    total = model.base + sum(model.tables[f][at(model.edges[f], v)] for f, v in enumerate(x))
+    total += sum(grid[at(model.coarse[f], x[f])][at(model.coarse[g], x[g])] for (f, g), grid in zip(model.pairs, model.grids, strict=True))
+    return 1 / (1 + np.exp(-min(max(total, -30), 30)))
+
+
+def quality_features_by_hand(text):
+    raw = (text or "").encode()
+    share = lambda n, of: n / max(of, 1)
+    out = [share(sum(b in set(members) for b in raw), len(raw)) for members in quality._CLASSES.values()]
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [x.lower() for x in w]
+    mean = lambda flags, of: share(sum(flags), len(of))
+    marks, word = set(b"#$%&*+=@^_~\\|<>[]{}/"), re.compile(rb"[0-9A-Za-z\x80-\xff]")
+    lines = [x for x in raw.split(b"\n") if x]
+    out += [np.log1p(len(raw)), np.log1p(len(w)), share(sum(map(len, w)), len(w)), mean((len(x) <= 3 for x in w), w), mean((len(x) > 14 for x in w), w), mean((bool(marks & set(x)) for x in w), w), mean((not word.search(x) for x in w), w)]
+    out += [share(len(set(low)), len(w)), share(len(set(zip(low, low[1:]))), len(w) - 1), share(max(Counter(low).values(), default=0), len(w))]
+    out += [np.log1p(len(lines)), np.log1p(share(len(raw), len(lines))), share(len({x.lower() for x in lines}), len(lines)), mean((len(x) < 30 for x in lines), lines), mean((x[-1:] in b'.!?"' for x in lines), lines)]
+    return out + [mean((2 * len(re.findall(rb"[A-Z]", x)) > len(x) for x in w), w), share(sum(x == y for x, y in zip(low, low[1:])), len(w))]
+
+
+MIXED = [*(t for _, t in EDGE if t is not None), "Say: YES\n\nno! no no\tend\r\n|x| #y z_z", "<b>A</b> - - ... 12 34 \"q\" é É", "x\ny\nx\nlonger line of more than thirty bytes.", "ABC DEF ghi abc"]
+
+
+def test_quality_scores_by_hand(spark):
+    rows = [(i, prose(40, i) if i % 3 else "x | y %% " * 20) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.quality_model(d, spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int"))
+    texts = [*MIXED, *(t for _, t in rows[:20]), None]
+    got = {r.doc_id: r.score for r in quality.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert model.pairs and all(got[i] == pytest.approx(additive_by_hand(model, quality_features_by_hand(t)), abs=1e-9) for i, t in enumerate(texts))
+
+
+def toxicity_features_by_hand(text, automaton, weights):
+    low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    w = [(m.start(), m.end()) for m in re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+    data = np.frombuffer(low, np.uint8)
+    kinds = [int(automaton.run(data, np.array([a]), np.array([b]))[0]) for a, b in w]
+    hits = []
+    for k, kind in enumerate(kinds):
+        if kind:
+            lo, hi = max(k - 6, 0), min(k + 6, len(w) - 1)
+            quote = re.compile(rb"[\"`]")
+            near_words = {low[a:b].decode() for a, b in w[lo : hi + 1]}
+            quoted = bool(quote.search(low[w[lo][0] : w[k][0]])) and bool(quote.search(low[w[k][1] : w[hi][1]]))
+            hits.append((weights[kind], kind % 2 == 0, quoted, bool(near_words & set(toxicity.REPORTING)), bool(near_words & set(toxicity.ADDRESS))))
+    if not hits:
+        return [0.0] * 11 + [np.log1p(len(w))]
+    good = sum(max(h[0], 0) for h in hits)
+    n = lambda k, want=True: np.log1p(sum(h[k] == want for h in hits))
+    return [np.log1p(len(hits)), max(0, *(h[0] for h in hits)), np.log1p(good), good / len(w), n(1, False), n(1), max([0, *(h[0] for h in hits if h[1])]), n(2), n(2, False), n(3), n(4), np.log1p(len(w))]
+
+
+def test_toxicity_scores_by_hand(spark):
+    rows = [(i, prose(30, i) + (" you idiot scum " if i % 4 == 0 else " fine ") + prose(20, i + 500)) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"), toxicity.F.lit(True))
+    texts = [*MIXED, *(t for _, t in rows[:12]), "you idiott", 'he said "what an idiot" today', "`idiot` scum", "x " * 9 + '" ' + "y " * 7 + "idiot", "idiot " * 30, None]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert all(got[i] == pytest.approx(additive_by_hand(model.model, toxicity_features_by_hand(t, model.automaton, model.weights)), abs=1e-9) for i, t in enumerate(texts))
+
+
+def test_registered_queries(spark, tmp_path):
+    """Every opN query over small whole tables: its columns, one row per row, and its folds."""
+    rows = [(i, prose(30 + i % 50, i) if i % 4 else "x | y %% you idiot " * 12) for i in range(160)] + [(200, prose(30, 5)), (201, None), (202, "")]
+    spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(15, 7))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, RNG.standard_normal(8).tolist(), 0) for i in range(250)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "http://www.example.com/en/x", ""), (2, None, "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    from assayer.llm.queries import QUERIES
+
+    columns = {
+        "op1": "doc_id held_out score predicted", "op2": "doc_id n_bytes n_tokens over_limit", "op3": "page_id host path rule verdict", "op4": "doc_id size source_size target taken", "op5": "doc_id class_id class_docs",
+        "op6": "doc_id n_words n_hit n_items items_sha256 contaminated n_near", "op7": "doc_id n_bytes n_removed n_spans kept_sha256 n_passages n_passage_bytes",
+        "op8": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op9": "query_id rank vec_id score", "op10": "doc_id held_out score predicted",
+    }
+    counts = {"op3": 2, "op8": 2, "op9": 30}
+    for name, query in QUERIES.items():
+        op = name.split("_")[0]
+        out = query(spark, str(tmp_path))
+        got = out.collect()
+        assert out.columns == columns[op].split() and len(got) == counts.get(op, len(rows)), name
+        if op in ("op1", "op10"):
+            n, fold = (5, 0) if op == "op1" else (4, 2)
+            assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == fold) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert len(QUERIES) == 10
+
+
 def test_quality(spark):
     rows = [(i, prose(40, i) if i % 3 else "x | y %% " * 20) for i in range(300)] + EDGE
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] + [(1, None), (None, 1)], "doc_id long, quality int")
@@ -118,10 +230,11 @@ def test_mixing(spark, monkeypatch):
 
 
 def jaccard_classes(rows, at=0.8):
+    """Classes by the weighted similarity of the counts of shingles."""
     sets = []
     for _, t in rows:
         w = words(t)
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ({("bytes", t)} if t else None))
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else (Counter([("bytes", t)]) if t else None))
     parent = list(range(len(rows)))
 
     def root(i):
@@ -131,7 +244,7 @@ def jaccard_classes(rows, at=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= at * len(sets[i] | sets[j]) - 1e-12:
+            if sets[i] and sets[j] and (sets[i] & sets[j]).total() >= at * (sets[i] | sets[j]).total() - 1e-12:
                 parent[root(i)] = root(j)
     groups = {}
     for i, s in enumerate(sets):
@@ -156,6 +269,8 @@ def test_near_duplicates(spark, monkeypatch, block):
                 w[int(RNG.integers(len(w)))] = f"edit{f}{k}{e}"
             rows.append((1000 + 20 * f + k, " ".join(w)))
     rows += [(3000 + i, prose(int(RNG.integers(3, 60)), 900 + i)) for i in range(60)] + [(4000, "One two."), (4001, "one TWO"), (4002, "!!! ???")]
+    line = prose(12, 5000)
+    rows += [(5000 + n, " ".join([line] * n)) for n in (1, 2, 3, 20, 21, 30)] + [(5100 + n, "la " * n) for n in (6, 60, 63, 90)]
     got = Counter(tuple(r) for r in neardup.near_duplicates(docs(spark, rows)).collect())
     assert got == jaccard_classes(rows)
     assert neardup.near_duplicates(docs(spark, rows).limit(0)).count() == 0
