@@ -15,6 +15,7 @@ triangle inequality of the Jaccard distance leaves room for it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .store import materialize, read, release
+from .store import materialize, read, release, tidy
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if lonely:  # texts that only rows without an id hold
         texts = texts.unionByName(docs.where(F.col(doc_id).isNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text_")))
     sets = materialize(shingle_sets(texts, "_text_", size).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")), "near-sets")
-    edges: DataFrame | None = None
+    found: list[DataFrame] = []
     pivots = 1
     while True:
         place = Window.partitionBy("band", "h").orderBy(F.desc("degree"), "node")
@@ -274,14 +275,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         heads = ranked.where(F.col("rank") <= pivots).select("band", "h", F.col("node").alias("pivot"), F.col("rank").alias("head"))
         meet = ranked.join(heads, ["band", "h"]).where("head < rank")
         pairs = meet.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        if edges is not None:
-            pairs = pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = materialize(verified(pairs, sets, at), "near-pairs")
-        edges = fresh if edges is None else edges.unionByName(fresh)
+        fresh = tidy(materialize(verified(pairs, sets, at).where(F.col("similarity") >= 2 * at - 1 - 1e-9), "near-pairs"))
+        found.append(fresh)  # pairs that met in an earlier round are looked at again: cheaper than a plan that grows by all rounds
         rest = ranked.where(F.col("rank") > pivots)
         if not rest.limit(1).count():
             break
-        link = edges.where(F.col("similarity") >= at).select("a", "b")
+        link = fresh.where(F.col("similarity") >= at).select("a", "b")
         either = link.select(F.col("a").alias("node"), F.col("b").alias("pivot")).union(link.select(F.col("b").alias("node"), F.col("a").alias("pivot")))
         settled = meet.where(F.col("rank") > pivots).join(either, ["node", "pivot"], "left_semi").select("band", "h", "node").distinct()
         left = rest.join(settled, ["band", "h", "node"], "left_anti")
@@ -294,8 +293,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         if pivots > 4 and largest <= OPEN:  # few are left, none linked to a pivot: all of them with all, within the tasks
             rest = active.select(F.concat_ws(":", "band", "h").alias("unit"), "node").distinct()
-            edges = edges.unionByName(materialize(links_in_blocks(rest, rest, sets, at), "near-pairs"))
+            found.append(materialize(links_in_blocks(rest, rest, sets, at), "near-pairs"))
             break
+    edges = tidy(materialize(reduce(DataFrame.unionByName, found).dropDuplicates(["a", "b"]), "near-edges"))
+    for df in found:
+        release(df)
     links = edges.where(F.col("similarity") >= at).select("a", "b")
     labels = components(links)
     if edges.where((F.col("similarity") < at) & (F.col("similarity") >= 2 * at - 1 - 1e-9)).limit(1).count():
