@@ -318,7 +318,10 @@ def test_dart_minhash_estimates_weighted_similarity():
     assert (sig[2] == np.iinfo(np.int64).max).all()
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("small", [{}, {"WINDOWS": 8, "SEGMENT_BYTES": 300, "BATCH": 4}])
+def test_leaks(spark, monkeypatch, small):
+    for name, bound in small.items():
+        monkeypatch.setattr(leaks, name, bound)
     items = [(1, prose(30, 7)), (2, "rare phrase"), (3, "single"), (4, ""), (5, None), (6, prose(12, 8)), (6, prose(12, 8)), (10, "rare phrase")]
     rows = [*EDGE, (20, "x " + prose(30, 7)[20:160] + " y"), (21, "a RARE  phrase, rare. phrase single"), (22, prose(12, 8)), (23, "rare"), (24, prose(200, 9) + " rare phrase"), (25, "phrase rare")]
     windows = {}
@@ -344,6 +347,17 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs(spark, rows).limit(0), b).count() == 0
 
 
+def test_leaks_count_overlaps_of_blocks_once(spark, monkeypatch):
+    """Windows of one passage that are searched by different tasks hit the same words; a frequent word is many rows."""
+    monkeypatch.setattr(leaks, "WINDOWS", 2)
+    passage = prose(40, 90)
+    b = spark.createDataFrame([(1, passage), (2, passage[20:150]), (3, "the")], "item_id long, text string")
+    rows = [(i, "the " * 30 + (passage if i % 2 else "the")) for i in range(40)]
+    got = leaks.find_leaks(docs(spark, rows), b, carry=("n_hit", "label"))
+    assert got.columns[-1] == "label"
+    assert {(r.doc_id % 2, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()} == {(1, 70, 70, ("1", "2", "3")), (0, 31, 31, ("3",))}
+
+
 def test_leaks_of_items_without_id(spark):
     b = spark.createDataFrame([(None, "rare phrase"), (2, "single"), (None, None)], "item_id long, text string")
     got = {r.doc_id: r for r in leaks.find_leaks(docs(spark, [(1, "a rare phrase"), (2, "single rare phrase"), (3, "clean")]), b).collect()}
