@@ -2,11 +2,13 @@
 
 Distinct pre-tokens of a batch become ragged arrays of symbol ids. Every round looks up the rank of each adjacent
 pair, finds each sequence's lowest, applies that pair everywhere in its sequence (left to right, not overlapping) and
-closes the gaps; sequences without a known pair are done. What is left are the tokens.
+closes the gaps; sequences without a known pair are done. What is left are the tokens. A long sequence takes many
+rounds, so it keeps the places of every rank and a round touches only those of the lowest.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -21,6 +23,10 @@ from .store import read
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Letters from which a pre-token is merged on its own.
+LONG = 1024
+
+
 def _byte_symbols() -> dict[int, str]:
     """The printable stand-in of each byte in the vocabulary file."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -42,7 +48,7 @@ class RankMerger:
         left, right, made = (np.array([vocab[f(m)] for m in merges], np.int64) for f in (lambda m: m[0], lambda m: m[1], "".join))
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.rank, self.made, self.made_by = keys[order], order.astype(np.int64), made[order], made
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.find = regex.compile(PATTERN).findall
@@ -79,6 +85,53 @@ class RankMerger:
             ids, owner = ids[keep], owner[keep]
         return counts
 
+    def merge_long(self, word: str) -> int:
+        """Number of symbols that survive in one long word: the rounds of merge(), in which only changed pairs are ranked
+        anew. A pair made by a merge ranks behind it, so every place is moved a bounded number of times per merge."""
+        ids = self.first[np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)]
+        n, none = len(ids), len(self.keys)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        rank = np.full(n, none, np.int64)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Rank the pairs that begin at ``at`` and keep their places."""
+            at = at[after[at] < n]
+            pair = ids[at] << 32 | ids[after[at]]
+            k = np.minimum(np.searchsorted(self.keys, pair), none - 1)
+            rank[at] = np.where(self.keys[k] == pair, self.rank[k], none)
+            order = np.argsort(rank[at], kind="stable")
+            order = order[: np.searchsorted(rank[at][order], none)]
+            if len(order):
+                at = at[order]
+                cuts = np.flatnonzero(np.diff(rank[at])) + 1
+                for some, r in zip(np.split(at, cuts), rank[at][np.append(0, cuts)].tolist(), strict=True):
+                    if r not in places:
+                        heapq.heappush(ranks, r)
+                    places.setdefault(r, []).append(some)
+
+        note(np.arange(n))
+        left = n
+        while ranks:
+            low = heapq.heappop(ranks)
+            where = np.unique(np.concatenate(places.pop(low)))
+            where = where[rank[where] == low]
+            if not len(where):
+                continue
+            run = np.concatenate(([True], after[where[:-1]] != where[1:]))
+            begin = np.flatnonzero(run)[np.cumsum(run) - 1]
+            where = where[(np.arange(len(where)) - begin) % 2 == 0]
+            gone = after[where]
+            ids[where], rank[where], rank[gone] = self.made_by[low], none, none
+            after[where] = after[gone]
+            before[after[where]] = where
+            left -= len(where)
+            changed = np.union1d(where, before[where])
+            rank[changed[changed >= 0]] = none
+            note(changed[changed >= 0])
+        return left
+
     def count(self, texts: list[str]) -> list[int]:
         """Token counts of whole texts; strings of special tokens count one each, as the library does by default."""
         extra, parts = [], []
@@ -95,6 +148,8 @@ class RankMerger:
             if len(known) > self.remember:
                 known.clear()
                 new = list({w for p in parts for w in p})
+            known.update((w, self.merge_long(w)) for w in new if len(w) >= LONG)
+            new = [w for w in new if len(w) < LONG]
             for lo in range(0, len(new), 20_000):
                 some = new[lo : lo + 20_000]
                 known.update(zip(some, self.merge(some).tolist(), strict=True))

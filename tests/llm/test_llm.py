@@ -1,6 +1,7 @@
 """Every operator against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -168,6 +169,11 @@ def test_tokens(spark):
     got = tokens.count_tokens(docs(spark, rows), path).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == expected
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+
+    rng = random.Random(5)
+    long = ["a" * 3001, " " * 2500, *("".join(rng.choices(letters, k=4000)) for letters in ("abcdefghijklmnopqrstuvwxyz", "aab", "äöüßжш漢字", "=-_*", ("the", "ing", "ation", "er", "re")))]
+    got = tokens.count_tokens(docs(spark, list(enumerate(long))), path).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(long)}
     assert tokens.count_tokens(docs(spark, rows).limit(0), path).count() == 0
 
 
