@@ -7,9 +7,9 @@ within an anchor's group. Consecutive starts with one anchor are a segment.
 1. Count segments by (anchor, content). A content that occurs twice is repeated as a whole; an anchor with several
    contents is open.
 2. One copy of each content of an open anchor is fetched and meets the others of its group. Blocks of whole groups are
-   sorted as suffix arrays in two stages, and adjacent common prefixes of ``length`` mark their starts. Groups with very
-   many contents are first cut into slices of starts, grouped anew by the bytes that all windows of a slice share; the
-   last slices are single windows, which are just counted.
+   sorted as suffix arrays in two stages, and adjacent common prefixes of ``length`` mark their starts. Groups that no
+   block can hold are first cut into slices of starts, grouped anew by the bytes that all windows of a slice share, for
+   which a digest stands from then on. Equal slices repeat as a whole and go on as one; the last are single windows.
 3. Marked starts go back to every document that holds the segment; the bytes they cover are removed.
 
 Two lengths are found in one go: a long repeat lies within the ranges that short repeats cover, so its search needs to
@@ -36,8 +36,10 @@ PASSAGE_BYTES, PASSAGE_WORDS = 240, 51
 GRAM = 48
 PIECE_BYTES = 1 << 20
 BLOCK_BYTES = 2_000_000
-#: Groups of more contents than this are cut into slices of so many starts.
-CROWD, SLICES = 1024, (64, 8, 1)
+#: Groups of more contents than this, or of more bytes than a block, are cut into slices of so many starts.
+CROWD, SLICES = 1 << 14, (64, 8, 1)
+#: Bytes of the digest that stands for what all windows of a slice share (hex, as a block needs bytes of UTF-8).
+DIGEST = 32
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -104,10 +106,12 @@ def _window_segments(keyed: DataFrame, length: int) -> DataFrame:
 
 #: A content (or a slice of it from start ``at`` on) in its group; ``shift`` is the distance from its first start to the anchor.
 _ROWS = "group binary, a long, b long, at int, shift int, bytes binary"
+_COLUMNS = [c.split()[0] for c in _ROWS.split(", ")]
 
 
 def _slices(rows: DataFrame, width: int, length: int) -> DataFrame:
-    """Cuts rows where the distance to the anchor is a multiple of ``width``."""
+    """Cuts rows where the distance to the anchor is a multiple of ``width``. The digest of what all windows of a slice
+    share is its group and its new anchor, and stands in its bytes: windows are ``width - 1 + DIGEST`` long from here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,11 +122,10 @@ def _slices(rows: DataFrame, width: int, length: int) -> DataFrame:
                     far = shift - i  # distance of start i; those down to near share a slice
                     near = far // width * width
                     end = min(i + far - near + 1, n)
-                    top = near + width - 1
-                    # all windows at distances near..top hold the bytes from -near to length - top about the anchor
-                    core = raw[max(shift - near, 0) : shift - top + length]
-                    key = hashlib.md5(group + near.to_bytes(4, "big") + core).digest()
-                    out.append((key, a, b, at + i, far, raw[i : end - 1 + length]))
+                    # all windows at distances near to near + width - 1 hold these bytes
+                    lo, hi = shift - near, shift - near - width + 1 + length
+                    key = hashlib.md5(group + near.to_bytes(4, "big") + raw[lo:hi]).hexdigest().encode()
+                    out.append((key, a, b, at + i, far - near, raw[i:lo] + key + raw[hi : end - 1 + length]))
                     i = end
                     if len(out) >= 4096:
                         yield _batch(out)
@@ -163,7 +166,9 @@ def _runs(mark: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _mark(rows: DataFrame, length: int) -> DataFrame:
-    """a, b, lo, hi: runs of starts (within the content) that occur elsewhere in their group."""
+    """a, b, lo, hi: runs of starts (within the content) that occur elsewhere in their group. ``rows`` (with ``weight``,
+    the bytes of their group) has to be a written table: behind a join on the group Spark would leave the repartition
+    out, and then split a large group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -175,11 +180,11 @@ def _mark(rows: DataFrame, length: int) -> DataFrame:
                 out += [(a, b, at + lo, at + hi) for lo, hi in _runs(mark)]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "lo", "hi"])
 
-        kept: dict[tuple[bytes, bytes], list[int]] = {}  # equal slices of a group stand once, with their number
+        kept: dict[tuple[bytes, bytes], list[int]] = {}  # equal contents of a group stand once, with their number
         names, size, last = [], 0, None
         for batch in batches:
-            for group, a, b, at, _, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= BLOCK_BYTES and group != last:
+            for group, a, b, at, _, raw, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if names and group != last and size + weight > BLOCK_BYTES:
                     yield flush()
                     kept, names, size = {}, [], 0
                 last = group
@@ -191,8 +196,13 @@ def _mark(rows: DataFrame, length: int) -> DataFrame:
         if names:
             yield flush()
 
-    dealt = rows.join(rows.groupBy("group").count().where("count > 1").select("group"), "group")
-    return dealt.select(*[c.split()[0] for c in _ROWS.split(", ")]).repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long, lo int, hi int")
+    return rows.select(*_COLUMNS, "weight").repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long, lo int, hi int")
+
+
+def _crowds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose group fits a block, and those that have to be cut."""
+    fits = (F.col("kinds") <= CROWD) & (F.col("weight") <= BLOCK_BYTES)
+    return rows.where(fits), rows.where(~fits).select(*_COLUMNS)
 
 
 def repeated_ranges(keyed: DataFrame, length: int) -> DataFrame:
@@ -203,36 +213,35 @@ def repeated_ranges(keyed: DataFrame, length: int) -> DataFrame:
     asked = segs.join(often, "anchor", "left").where(F.coalesce("often", F.least(F.col("lo"), F.lit(0))) > 1).drop("often")
     asked = tidy(materialize(asked, "repeat-asked"))
     contents = asked.groupBy("anchor", "a", "b").agg(F.count("*").alias("n"), F.min(F.struct("_key_", "lo", F.col("n").alias("starts"), "shift")).alias("one"))
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("one.starts") + length - 1).alias("weight"))
     shared = tidy(materialize(contents.join(kinds, "anchor"), "repeat-contents"))
     release(asked)
     # one copy of every content that has to be compared; those that repeat as a whole are partners of the others
-    fetch = shared.where("kinds > 1").select("one.*", "anchor", "a", "b", "kinds")
-    by_text = fetch.groupBy("_key_").agg(F.collect_list(F.struct("lo", "starts", "shift", "anchor", "a", "b", "kinds")).alias("want"))
+    fetch = shared.where("kinds > 1").select("one.*", "anchor", "a", "b", "kinds", "weight")
+    by_text = fetch.groupBy("_key_").agg(F.collect_list(F.struct("lo", "starts", "shift", "anchor", "a", "b", "kinds", "weight")).alias("want"))
     one = keyed.select("_key_", "_text_").join(by_text, "_key_").select("_text_", F.explode("want").alias("w"))
     raw = F.col("_text_").substr((F.col("w.lo") + 1).cast("int"), F.col("w.starts") + length - 1)
-    open_ = one.select(F.col("w.anchor").cast("string").cast("binary").alias("group"), "w.a", "w.b", F.lit(0).alias("at"), "w.shift", raw.alias("bytes"), F.col("w.kinds").alias("crowd"))
+    open_ = one.select(F.col("w.anchor").cast("string").cast("binary").alias("group"), "w.a", "w.b", F.lit(0).alias("at"), "w.shift", raw.alias("bytes"), "w.kinds", "w.weight")
     rows = tidy(materialize(open_.dropDuplicates(["a", "b"]), "repeat-open"))
     used = [segs, often, shared, rows]
-    found = materialize(_mark(rows.where(F.col("crowd") <= CROWD).drop("crowd"), length), "repeat-marks")
+    block, level = _crowds(rows)
+    found, window = materialize(_mark(block, length), "repeat-marks"), length
     used.append(found)
-    level = rows.where(F.col("crowd") > CROWD).drop("crowd")
     for width in SLICES:
         if not level.limit(1).count():
             break
-        if width == 1:  # a group is one window by now
-            cut = _slices(level, 1, length).select("group", "a", "b", "at")
-            many = cut.groupBy("group").count().where("count > 1").select("group")
-            found = found.unionByName(cut.join(many, "group").select("a", "b", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi")))
-            break
-        cut = materialize(_slices(level, width, length), "repeat-slices")
-        sizes = cut.groupBy("group").agg(F.count("*").alias("crowd")).where("crowd > 1")
-        sized = cut.join(sizes, "group")
-        columns = [c.split()[0] for c in _ROWS.split(", ")]
-        marks = materialize(_mark(sized.where(F.col("crowd") <= CROWD).select(columns), length), "repeat-marks")
-        found = found.unionByName(marks)
-        used += [cut, marks]
-        level = sized.where(F.col("crowd") > CROWD).select(columns)
+        cut = materialize(_slices(level, width, window), "repeat-slices")
+        window = width - 1 + DIGEST
+        # the bytes of a slice tell its group; of equal ones, all repeated as a whole, one goes on as partner of the others
+        equal = materialize(cut.groupBy("bytes").agg(F.count("*").alias("n"), F.min(F.struct("group", "a", "b", "at", "shift")).alias("one")), "repeat-kinds")
+        kinds = equal.select("bytes", "one.*")
+        sizes = kinds.groupBy("group").agg(F.count("*").alias("kinds"), F.sum(F.length("bytes")).alias("weight")).where("kinds > 1")
+        sized = materialize(kinds.join(sizes, "group"), "repeat-sized")
+        block, level = _crowds(sized)
+        marks = materialize(_mark(block, window), "repeat-marks")
+        whole = cut.join(equal.where("n > 1").select("bytes"), "bytes").select("a", "b", F.col("at").alias("lo"), (F.col("at") + F.length("bytes") - window + 1).alias("hi"))
+        found = found.unionByName(marks).unionByName(whole)
+        used += [cut, equal, sized, marks]
     runs = content_runs(shared, found)
     # a left join on contents that are unique in ``runs``: one row for each segment, whatever repeats
     joined = segs.select("_key_", "lo", "a", "b").join(runs, ["a", "b"], "left")

@@ -423,6 +423,51 @@ def test_repeats(spark, monkeypatch, crowd):
     assert repeats.dedupe_repeats(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_groups_meet(spark, monkeypatch):
+    """Groups are dealt by a repartition of their own: that of a join gives way, and its readers may scatter a group."""
+    plans, mark = [], repeats._mark
+
+    def planned(rows, length):
+        out = mark(rows, length)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(repeats, "_mark", planned)
+    monkeypatch.setattr(repeats, "CROWD", 20)
+    passage = prose(200, 53)[:430]
+    rows = [(100 + i, prose(30 + i % 40, 700 + i // 2) + prose(9, 900 + i) + passage + prose(4, 1300 + i)) for i in range(60)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Counter(tuple(r) for r in repeats.dedupe_repeats(docs(spark, rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == removed(rows, 400)
+    assert len(plans) > 1 and all("REPARTITION_BY_COL" in p and "Join" not in p for p in plans)
+
+
+def test_repeats_rows_of_large_groups(spark, monkeypatch):
+    """Slices grow with the contents of a group, not with all their starts, and a group that fits a block has none."""
+    made, cut = [], repeats._slices
+
+    def counted(rows, width, length):
+        out = cut(rows, width, length)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "_slices", counted)
+    passage = prose(200, 54)[:600]
+    for n, crowd in (60, 20), (120, 20), (1100, repeats.CROWD):
+        monkeypatch.setattr(repeats, "CROWD", crowd)
+        rows = [(i, prose(40, 2000 + i) + f"#{i} " + passage + f" {i}#" + prose(40, 4000 + i)) for i in range(n)]
+        made.append(0)
+        got = Counter(tuple(r) for r in repeats.dedupe_repeats(docs(spark, rows)).collect())
+        if n < 200:
+            assert got == removed(rows, 400)
+        assert sum(got.values()) == n and all(r[2] >= 600 for r in got)
+    assert 0 < made[0] <= 60 * 50 and made[1] <= 2.2 * made[0] and made[2] == 0, made
+
+
 def test_repeats_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE_BYTES", 1500)
     rows = [(1, prose(4000, 70)), (2, prose(900, 71) + prose(4000, 70)[7000:9000]), (3, prose(10, 72))]
