@@ -1,5 +1,11 @@
 """Rows that share a key, and figures that must not grow with the input."""
 
+import random
+import re
+
+from assayer.functions import lexicon as lx
+from assayer.functions.patterns import branches, factored, lowered
+from assayer.operators import claims as cl
 from assayer.operators import text as tx
 
 
@@ -17,3 +23,29 @@ def test_artifacts_of_rows_that_share_a_key(spark):
     rows = [(1, "accuracy = 95.3% and BLEU: 3.5"), (1, "Accuracy = 95.3%; bleu: 3.5"), (1, "accuracy = 95.3%"), (2, "accuracy = 95.3%")]
     got = sorted(tuple(r) for r in tx.metric_artifacts(spark.createDataFrame(rows, "k long, text string").repartition(3), "k").collect())
     assert got == [(1, "accuracy", 95.3, True), (1, "accuracy", 95.3, True), (1, "bleu", 3.5, False), (1, "bleu", 3.5, False), (2, "accuracy", 95.3, True)]
+
+
+def test_factored_patterns_find_the_same():
+    r = random.Random(1)
+    for listed in (lx.METRICS, lx.CLAIM_METRICS, lx.DATASETS, lx.EFFICIENCY_UNITS, lx.NORMAL_METRICS, lx.DELTA):
+        whole, short = re.compile(rf"\b({listed})\b", re.IGNORECASE), re.compile(rf"\b({factored(listed)})\b", re.IGNORECASE)
+        low = re.compile(lowered(short.pattern))
+        words = [re.sub(r"\\s[?+]?", " ", re.sub(r"\\d\+?", "7", b)).replace("?", "") for b in branches(listed)]
+        for _ in range(400):
+            text = r.choice(["", " ", "-", "x"]).join(r.choice([*words, "\u212a", "\u017f", "-", "1", "é"]) for _ in range(r.randint(1, 5)))
+            text = r.choice([text, text.upper(), text[:-1]])
+            spans = [m.span(1) for m in whole.finditer(text)]
+            assert spans == [m.span(1) for m in short.finditer(text)]
+            assert not text.isascii() or spans == [m.span(1) for m in low.finditer(text.lower())]
+    assert max(map(len, branches(factored(lx.METRICS)[3:-1]))) > 60 and branches(r"a\||b[|]|(?:c|d)") == [r"a\|", "b[|]", "(?:c|d)"]
+
+
+def test_repeated_texts_are_asked_once(monkeypatch):
+    asked = []
+    cl._again.cache_clear()
+    monkeypatch.setattr(cl, "claims_of", lambda t, k=None, of=cl.claims_of: asked.append(t) or of(t, k))
+    texts = ["BERT-9 achieves 91% accuracy on GLUE.", None, "x" * 500, "BERT-9 achieves 91% accuracy on GLUE.", "Results show 90% accuracy and 85% accuracy on RTE."] * 3
+    got = cl._claims_of_each(texts, [None] * len(texts)).to_pylist()
+    assert got == [[c._asdict() for c in cl.claims_of(t or "")] for t in texts] and len(asked) == 4 + len(texts)
+    cl._claims_of_each(texts, [None] * len(texts))
+    assert len(asked) == 4 + len(texts) + 1  # only the long one, which is not kept
