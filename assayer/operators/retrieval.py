@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import lexicon as lx
 from .text import tokens
@@ -82,12 +83,17 @@ def cluster_map(vectors: DataFrame, texts: DataFrame | None = None, by: str = "l
 
 
 def cluster_labels(texts: DataFrame, by: str, text: str = "text", order: str = "vec_id", words: int = 4, stopwords: tuple[str, ...] = tuple(lx.LABEL_STOPWORDS)) -> DataFrame:
-    """Per cluster the most frequent words of its texts, capitalised: ties go to the word that stands first."""
-    found = texts.select(by, order, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))).alias("at", "term")).where(~F.col("term").isin(*stopwords))
-    counts = found.groupBy(by, "term").agg(F.count("*").alias("n"), F.min(F.struct(order, "at")).alias("first"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "first"))
+    """Per cluster the most frequent words of its texts, capitalised: ties go to the word that stands first. Where the order is
+    a whole number, a place is one number too, which is kept while counting by hash; others are counted by sorting all words."""
+    terms = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
+    whole = isinstance(texts.schema[order].dataType, IntegralType)
+    row = F.col(order).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") if whole else F.col(order)
+    found = texts.select(F.col(by).alias("by"), row.alias("row"), F.posexplode(terms).alias("at", "term")).where(~F.col("term").isin(*stopwords))
+    place = F.col("row") + F.col("at").cast("decimal(10,0)") if whole else F.struct("row", "at")
+    counts = found.groupBy("by", "term").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("by").orderBy(F.desc("n"), F.asc_nulls_last("first"), "term"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= words)
-    return top.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: F.initcap(s.term)), " ").alias("name"))
+    return top.groupBy(F.col("by").alias(by)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: F.initcap(s.term)), " ").alias("name"))
 
 
 def cosine(a: Column, b: Column) -> Column:

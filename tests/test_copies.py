@@ -2,12 +2,14 @@
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from assayer.functions import lexicon as lx
 from assayer.functions.patterns import branches, factored, lowered
 from assayer.operators import claims as cl
+from assayer.operators import retrieval as rt
 from assayer.operators import text as tx
 
 
@@ -68,3 +70,23 @@ def test_scans_of_ascii_and_other_texts(spark):
     assert wrong.collect() == []
     plan = df.select(tx.signal(t), tx.context_id(t))._jdf.queryExecution().optimizedPlan().toString()
     assert lx.METRICS not in plan and "lower(t" in plan  # the listed form, each alternative tried anew at every word, took most of the time
+
+
+def test_cluster_labels_by_hash_with_ties(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["x", "y", None]), r.choice([3, 4, 9, -10]), " ".join(r.choice(["one", "two", "the", "Six", "ten", "abc", "of"]) for _ in range(r.randint(0, 6)))) for _ in range(30)] + [("z", 1, "zeta eta zeta theta eta"), ("w", 2, None)]
+    want = {}
+    for by in {b for b, _, _ in rows}:
+        n, first = Counter(), {}
+        for _, k, t in (x for x in rows if x[0] == by):
+            for at, w in enumerate(re.findall("[a-z]{3,}", (t or "").lower())):
+                if w not in lx.LABEL_STOPWORDS:
+                    n[w] += 1
+                    first[w] = min(first.get(w, (k, at)), (k, at))
+        if n:
+            want[by] = " ".join(w.capitalize() for w in sorted(n, key=lambda w: (-n[w], first[w], w))[:4])
+    df = spark.createDataFrame([(*x, f"{x[1] + 20:03}") for x in rows], "by string, k long, text string, s string").repartition(3)
+    labels = rt.cluster_labels(df, "by", order="k")
+    assert {x.by: x.name for x in labels.collect()} == want == {x.by: x.name for x in rt.cluster_labels(df, "by", order="s").collect()}
+    plan = labels._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan.split("Window")[-1]  # counting by sorting all words took much of the time
