@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -25,27 +26,61 @@ def lexical_topk(corpus: DataFrame, query: str, k: int, key: str = "doc_id", tex
     return hits.where("_hits > 0").select(key, F.round(F.col("_hits") / max(len(words), 1), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+#: Rows that are worked on at once, so that a Python worker's memory does not follow the batch.
+_ROWS = 512
+
+
+def _embedded(digests: np.ndarray, size: int) -> np.ndarray:
+    x = np.round(np.take(digests, np.arange(size) % 32, axis=1) / 127.5 - 1.0, 6)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.round(np.divide(x, norm, where=norm > 0, out=x), 6)
+
+
+def _each_digest(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each slice of the column begins, and its digests as rows of 32 bytes."""
+    for at in range(0, len(column), _ROWS):
+        yield at, np.frombuffer(b"".join(column.slice(at, _ROWS).to_pylist()), np.uint8).reshape(-1, 32)
+
+
+def _digest(text: Column) -> Column:
+    """Only digests go to Python, no texts."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def hash_embedding(df: DataFrame, text: str = "text", size: int = 384) -> DataFrame:
     """embedding: the bytes of the text's digest round and round, scaled to -1..1 and then to length one (six places)."""
 
-    @F.pandas_udf("array<double>")
-    def embed(column: pd.Series) -> pd.Series:
-        raw = np.stack([np.frombuffer(hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest(), np.uint8) for t in column]) if len(column) else np.zeros((0, 32), np.uint8)
-        x = np.round(np.take(raw, np.arange(size) % 32, axis=1) / 127.5 - 1.0, 6)
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return pd.Series(list(np.round(np.divide(x, norm, where=norm > 0, out=x), 6)))
+    @F.arrow_udf("array<double>")
+    def embed(column: pa.Array) -> pa.Array:
+        out = np.empty((len(column), size))
+        for at, digests in _each_digest(column):
+            out[at : at + _ROWS] = _embedded(digests, size)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * size, pa.int32()), pa.array(out.ravel()))
 
-    return df.withColumn("embedding", embed(F.col(text)))
+    return df.withColumn("embedding", embed(_digest(F.col(text))))
 
 
 def semantic_topk(corpus: DataFrame, query: str, k: int = 5, key: str = "doc_id", text: str = "text", sources: list[str] | None = None, source: str = "source") -> DataFrame:
-    """Nearest texts of the query by the cosine of hash embeddings, of the ``sources`` if given."""
-    digest = np.frombuffer(hashlib.sha256(query.encode()).digest(), np.uint8)[np.arange(384) % 32]
-    x = np.round(digest / 127.5 - 1.0, 6)
+    """Nearest texts of the query by the cosine of hash embeddings, of the ``sources`` if given. Digests go to Python and
+    scores come back; components are summed one after the other, as cosine() does."""
+    q = _embedded(np.frombuffer(hashlib.sha256(query.encode()).digest(), np.uint8).reshape(1, 32), 384)[0]
+    norm_q = np.sqrt(sum((x * x for x in q.tolist()), 0.0))
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        out = np.zeros(len(column))
+        for at, digests in _each_digest(column):
+            e = np.ascontiguousarray(_embedded(digests, len(q)).T)
+            dot, square = np.zeros(len(digests)), np.zeros(len(digests))
+            for x, y in zip(e, q, strict=True):
+                dot += x * y
+                square += x * x
+            both = np.sqrt(square) * norm_q
+            np.divide(dot, both, where=both != 0, out=out[at : at + _ROWS])
+        return pa.array(out)
+
     pool = corpus if not sources else corpus.where(F.col(source).isin(*sources))
-    embedded = hash_embedding(pool.select(F.col(key).alias("vec_id"), text), text)
-    top = vector_topk(embedded, np.round(x / np.sqrt((x * x).sum()), 6).tolist(), k)
-    return top.select(F.col("vec_id").alias(key), "score")
+    return pool.select(key, F.round(score(_digest(F.col(text))), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def retrieve(corpus: DataFrame, query: str, k: int = 5, embed: bool = True, **how) -> DataFrame:

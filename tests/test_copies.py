@@ -90,3 +90,13 @@ def test_cluster_labels_by_hash_with_ties(spark):
     assert {x.by: x.name for x in labels.collect()} == want == {x.by: x.name for x in rt.cluster_labels(df, "by", order="s").collect()}
     plan = labels._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan.split("Window")[-1]  # counting by sorting all words took much of the time
+
+
+def test_semantic_scores_without_texts_in_python(spark):
+    df = spark.range(1500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 97 > 0, F.concat(F.lit("text "), (F.col("id") % 700).cast("string"))).alias("text")).repartition(2)
+    query = [r.embedding for r in rt.hash_embedding(spark.createDataFrame([("text 5",)], "text string")).collect()][0]
+    slow = rt.vector_topk(rt.hash_embedding(df).withColumnRenamed("doc_id", "vec_id"), query, 40).select("vec_id", "score")
+    found = rt.semantic_topk(df, "text 5", 40)
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in slow.collect()]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "score(unhex(sha2(" in plan and "double" not in plan.split("ArrowEvalPython")[1].split("\n")[1]
