@@ -1,5 +1,6 @@
 """Rows that share a key, and figures that must not grow with the input."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -11,6 +12,7 @@ from assayer.functions.patterns import branches, factored, lowered
 from assayer.operators import claims as cl
 from assayer.operators import retrieval as rt
 from assayer.operators import text as tx
+from assayer.sources import adapters as ad
 
 
 def test_telemetry_of_rows_that_share_a_source(spark):
@@ -100,3 +102,14 @@ def test_semantic_scores_without_texts_in_python(spark):
     assert [tuple(r) for r in found.collect()] == [tuple(r) for r in slow.collect()]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "score(unhex(sha2(" in plan and "double" not in plan.split("ArrowEvalPython")[1].split("\n")[1]
+
+
+def test_joined_tables_are_dealt_by_their_size(spark, monkeypatch):
+    """The tasks of the join grow in number with the files, so that the rows of a task do not."""
+    d = "/root/testdata/sf0.001"
+    size = sum(os.path.getsize(f"{d}/{t}.parquet") for t in ("lineitem", "orders"))
+    for share in (20, 40):
+        monkeypatch.setattr(ad, "TASK_BYTES", size // share)
+        plan = tx.propagate_contexts(ad.view(spark, d, ad.PAGED))._jdf.queryExecution().sparkPlan().toString()
+        n = {int(x) for x in re.findall(r"hashpartitioning\([lo]_orderkey#\w+, (\d+)\), REPARTITION_BY_NUM", plan)}
+        assert n and all(share <= x <= share + 1 for x in n)
