@@ -12,6 +12,7 @@ from assayer.functions.patterns import branches, factored, lowered
 from assayer.operators import claims as cl
 from assayer.operators import retrieval as rt
 from assayer.operators import text as tx
+from assayer.operators import validate as va
 from assayer.sources import adapters as ad
 
 
@@ -113,3 +114,13 @@ def test_joined_tables_are_dealt_by_their_size(spark, monkeypatch):
         plan = tx.propagate_contexts(ad.view(spark, d, ad.PAGED))._jdf.queryExecution().sparkPlan().toString()
         n = {int(x) for x in re.findall(r"hashpartitioning\([lo]_orderkey#\w+, (\d+)\), REPARTITION_BY_NUM", plan)}
         assert n and all(share <= x <= share + 1 for x in n)
+
+
+def test_problem_rows_are_those_of_validated(spark):
+    claims = [("c1", "A", "is", "fast and cheap", "high", [("s", "short", 0.2), ("s", None, None)]), ("c2", None, "beats", "ok", "low", []), ("c3", "A or\tB", "beats", "andy  and", "medium", None), ("c4", "A", "beats", "andy brands", "low", [("s", "a long snippet", 0.9)])]
+    df = spark.createDataFrame(claims, "claim_id string, subject string, predicate string, object string, confidence_level string, evidence array<struct<source_id:string,snippet:string,retrieval_score:double>>")
+    rows = va.problem_rows(df, "claim", "claim_id")
+    listed = va.validated(df, "claim").select("claim_id", F.inline("problems"))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, listed.collect()))
+    assert {(r.claim_id, r.rule) for r in rows.where("rule = 'compound_words'").collect()} == {("c1", "compound_words"), ("c3", "compound_words")}
+    assert "filter(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # items were looked at one by one, uncompiled
